@@ -208,13 +208,13 @@ _NAMES = ", ".join(f"({i}, '{name}')" for i, name in enumerate(NAMES))
 _MATCHES = f"""
 names(ord, name) AS (VALUES {_NAMES}),
 matches AS (
-  SELECT conv_id, turn, name, ord, instr(text, name) - 1 AS at
+  SELECT conv_id, turn, name, ord, instr(text, name) - 1 AS place
   FROM conversations CROSS JOIN names WHERE role = 'assistant' AND instr(text, name) > 0
 ),
 routed AS (
   SELECT c.conv_id, c.turn, coalesce(m.name, 'default') AS tool
   FROM conversations c LEFT JOIN (
-    SELECT conv_id, turn, arg_min(name, at * 10 + ord) AS name FROM matches GROUP BY conv_id, turn
+    SELECT conv_id, turn, arg_min(name, place * 10 + ord) AS name FROM matches GROUP BY conv_id, turn
   ) m USING (conv_id, turn) WHERE c.role = 'assistant'
 )"""
 _KB = ", ".join(f"('{n}', {'NULL' if kb is None else repr(kb)})" for n, kb in KNOWLEDGE.items())
@@ -242,7 +242,7 @@ ORACLES = {
     "i1_match_tools": f"""
 WITH {_MATCHES}
 SELECT c.conv_id, c.turn, coalesce(m.tools, '') AS tools FROM conversations c LEFT JOIN (
-  SELECT conv_id, turn, string_agg(name || '@' || at, ',' ORDER BY at, ord) AS tools
+  SELECT conv_id, turn, string_agg(name || '@' || place, ',' ORDER BY place, ord) AS tools
   FROM matches GROUP BY conv_id, turn) m USING (conv_id, turn)
 WHERE c.role = 'assistant'""",
     "i2_route": f"WITH {_MATCHES} SELECT conv_id, turn, tool FROM routed",
@@ -277,7 +277,7 @@ FROM events""",
     "h2_history_segments": _HISTORY,
     "h2_history_latest": _HISTORY.replace("UNBOUNDED PRECEDING AND", "2 PRECEDING AND"),
     "h3_no_history": f"""
-WITH {PAIRS} SELECT conv_id, turn, 0 AS n_pairs, '' AS history FROM pairs""",
+WITH {PAIRS} SELECT conv_id, turn, 0::BIGINT AS n_pairs, '' AS history FROM pairs""",
     "h4_seed_system": f"""
 WITH {PAIRS},
 said AS (

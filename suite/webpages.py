@@ -145,7 +145,7 @@ WITH {_LINKS} SELECT query_id, choice, title, url, min(pos) AS pos FROM links
 GROUP BY query_id, choice, title, url""",
     "w5_extract_blocks": f"""
 SELECT page_id, array_to_string(list_transform(
-  regexp_extract_all(html, '<div class="ad">(.*?)</div>', 1), lambda b: {strip("b")}), '|') AS answers
+  regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1), lambda b: {strip("b")}), '|') AS answers
 FROM pages""",
     "w6_join_blocks": f"""
 WITH {WORDS}

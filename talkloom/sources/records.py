@@ -17,7 +17,7 @@ def read_instructions(spark: SparkSession, path: str, schema: T.StructType = INS
     of files; write the result as JSON lines or Parquet once and go on from there.
     A malformed file fails the read.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
     return raw.select(
         F.col("_metadata.file_path").alias("file"), F.posexplode(rows).alias("pos", "record")

@@ -66,12 +66,16 @@ def read_log(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).parquet(f"{out}/epoch=*")
 
 
-def suffix_delta_stream(stream: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def suffix_delta_stream(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """The deltas of a stream of snapshots, in append mode.
 
     The state of a reply is the last ``seq`` and its length. A snapshot that is not newer
-    is dropped; a reply that stays idle is forgotten.
+    is dropped. With ``idle_ms`` a reply that stays idle is forgotten; set it for queries
+    that run on, since Spark never ends an ``availableNow`` run that waits for timeouts.
     """
+    timeout = (
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    )
 
     def deltas(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -85,7 +89,8 @@ def suffix_delta_stream(stream: DataFrame, idle_ms: int = 3_600_000) -> DataFram
                 rows.append((*key, new_seq, resp[length:]))
                 seq, length = int(new_seq), len(resp)
         state.update((seq, length))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "seq", "delta"])
 
     return (
@@ -96,7 +101,7 @@ def suffix_delta_stream(stream: DataFrame, idle_ms: int = 3_600_000) -> DataFram
             DELTA,
             "seq long, length long",
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            timeout,
         )
     )
 
