@@ -192,9 +192,8 @@ def length_model():
 
 
 def e2_batch_inference(spark, sf_dir):
-    """Every record through the generator; the number to infer is the number of records."""
-    records = I.records(spark, sf_dir)
-    done = batch_inference(records, ["conv_id", "turn"], 2**31 - 1, length_model)
+    """Every record through the generator."""
+    done = batch_inference(I.records(spark, sf_dir), length_model)
     return done.select("conv_id", "turn", "target", "answer")
 
 

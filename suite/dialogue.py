@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from suite import inputs as I
@@ -11,7 +12,7 @@ from talkloom.functions.strings import allowed_value
 from talkloom.functions.tools import SYSTEM_CONTENT
 from talkloom.operators import chat as H
 from talkloom.operators import route as N
-from talkloom.sources.scratch import scratch_path
+from talkloom.sources.scratch import scratch_path, small_table
 from talkloom.streaming import replies as ST
 
 # Words that replies contain, standing for tool names; the order is the registry order.
@@ -81,7 +82,11 @@ def i5_unresolved(spark, sf_dir):
 
 
 def i6_missing_params(spark, sf_dir):
-    specs = spark.createDataFrame(list(REQUIRED.items()), "name string, required array<string>")
+    specs = small_table(
+        spark,
+        {"name": list(REQUIRED), "required": list(REQUIRED.values())},
+        required=pa.list_(pa.string()),
+    )
     lacking = N.missing_parameters(I.tool_calls(spark, sf_dir), specs)
     return lacking.select("event_id", "name", F.array_join("missing", ",").alias("missing"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talkloom.operators.chat import pair_turns
 from talkloom.operators.tokens import tokenize_corpus
 from talkloom.operators.instruct import prompt_records
+from talkloom.plans.spread import spread
 from talkloom.plans.training import conversation_instructions
 from talkloom.sources.scratch import scratch_path
 
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages over all cores: parsing is heavy, and the test tables are one split each."""
+    return spread(table(spark, sf_dir, "pages"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_instructions(table(spark, sf_dir, "conversations"))
 
@@ -90,24 +96,24 @@ LIST_LINK = r'<li><a href="([^"]*)">([^<]*)</a></li>'
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with each list link written as a search result block."""
     block = r'<div class="b_algo"><h2><a href="$1">$2</a></h2><p>$1</p></div>'
-    return table(spark, sf_dir, "pages").select(
+    return pages(spark, sf_dir).select(
         F.col("page_id").alias("query_id"), F.regexp_replace("html", LIST_LINK, block).alias("html")
     )
 
 
 def answer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as a stored answer page of both sources, its list entries as answers."""
-    pages = table(spark, sf_dir, "pages")
+    stored = pages(spark, sf_dir)
     first = (
         '<div class="List-item"><h2>$1</h2><span class="RichText ztext '
         'CopyrightRichText-richText css-117anjg">$2 <b>$1</b></span></div>'
     )
     second = '<div class="rich-content-container rich-text-">$2<br>$1</div>'
-    return pages.select(
+    return stored.select(
         F.concat(F.lit("https://www.zhihu.com/question/"), F.col("page_id")).alias("url"),
         F.regexp_replace("html", LIST_LINK, first).alias("html"),
     ).unionByName(
-        pages.select(
+        stored.select(
             F.concat(F.lit("https://zhidao.baidu.com/question/"), F.col("page_id")).alias("url"),
             F.regexp_replace("html", LIST_LINK, second).alias("html"),
         )

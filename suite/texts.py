@@ -119,7 +119,7 @@ def _paragraph_rows(spark, sf_dir):
 
 def c1_pack_paragraph_rows(spark, sf_dir):
     """The form for one row per paragraph; short segments make long documents of many."""
-    return C.pack_paragraph_rows(_paragraph_rows(spark, sf_dir), "doc_id", segment=8)
+    return C.pack_paragraph_rows(_paragraph_rows(spark, sf_dir), "doc_id", segment=64)
 
 
 def c2_page_passages(spark, sf_dir):

@@ -32,7 +32,7 @@ def w4_distinct_links(spark, sf_dir):
 
 
 def w5_extract_blocks(spark, sf_dir):
-    found = W.extract_answers(I.table(spark, sf_dir, "pages"), ["page_id"], "ad", None)
+    found = W.extract_answers(I.pages(spark, sf_dir), ["page_id"], "ad", None)
     return found.select("page_id", F.array_join("answers", "|").alias("answers"))
 
 

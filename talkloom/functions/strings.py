@@ -20,6 +20,14 @@ def last_line(text: Column) -> Column:
     return strip(F.substring_index(text, "\n", -1))
 
 
+def split_lines(text: Column) -> Column:
+    """All parts between line ends, the one behind the last included."""
+    # The plain newline split needs no regular expression.
+    return F.when(F.contains(text, F.lit("\r")), F.split(text, r"\r\n|\r|\n", -1)).otherwise(
+        F.split(text, "\n", -1)
+    )
+
+
 def strip_markup(html: Column) -> Column:
     """Remove tags and every white space character."""
     return F.regexp_replace(html, rf"(?U)<[^>]++>|{SPACE}", "")

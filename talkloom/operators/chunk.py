@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.functions.strings import split_lines
 from talkloom.plans.segments import segment_of
 
 
@@ -97,21 +99,8 @@ def pack_paragraph_rows(
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "n"))).alias("ns"))
     )
 
-    def advance(state: Column, n: Column) -> Column:
-        full = state["size"] > flush
-        size = F.when(full, n).otherwise(F.least(state["size"] + n, F.lit(flush + 1)))
-        return F.struct(
-            F.least(size, F.lit(flush + 1)).alias("size"),
-            (state["given"] + full.cast("long")).alias("given"),
-        )
-
-    def case_out(size: Column) -> Column:
-        begin = F.struct(size.alias("size"), F.lit(0).cast("long").alias("given"))
-        return F.aggregate("ns", begin, lambda state, x: advance(state, x["n"]))
-
-    tables = lengths.select(
-        "_key", "_seg", F.transform(F.sequence(F.lit(0), F.lit(flush + 1)), case_out).alias("table")
-    ).select("_key", "_seg", F.col("table.size").alias("size"), F.col("table.given").alias("given"))
+    tables = lengths.select("_key", "_seg", _case_table(flush)(F.col("ns.n")).alias("table"))
+    tables = tables.select("_key", "_seg", "table.size", "table.given")
     key_type = kept.schema["_key"].dataType.simpleString()
     starts = tables.groupBy("_key").applyInPandas(
         _chain, f"_key {key_type}, _seg long, _size int, _given long"
@@ -126,22 +115,8 @@ def pack_paragraph_rows(
             "_given": F.coalesce("_given", F.lit(0).cast("long")),
         }
     )
-    # Number the passage of each paragraph; the array only grows to the segment length.
-    begin = F.struct(
-        F.col("_size").alias("size"),
-        F.col("_given").alias("given"),
-        F.array().cast("array<bigint>").alias("chunks"),
-    )
-
-    def place(state: Column, x: Column) -> Column:
-        after = advance(state, F.length(x["_text"]))
-        return F.struct(
-            after["size"].alias("size"),
-            after["given"].alias("given"),
-            F.concat(state["chunks"], F.array(after["given"])).alias("chunks"),
-        )
-
-    chunks = F.aggregate("paragraphs", begin, place, lambda state: state["chunks"])
+    sizes = F.transform("paragraphs", lambda p: F.length(p["_text"]))
+    chunks = _chunk_numbers(flush)(sizes, F.col("_size"), F.col("_given"))
     placed = opened.select("_key", "_given", "paragraphs", chunks.alias("chunks"))
     # A paragraph that opens passage c proves that passage c - 1 is complete.
     pieces = placed.select(
@@ -185,6 +160,45 @@ def _piece(chunk: Column, pos: Column, text: Column, closed: bool) -> Column:
     )
 
 
+def _case_table(flush: int):
+    """For one segment: from each length of the open passage, the length and passages after it."""
+
+    @F.pandas_udf("size array<int>, given array<long>")
+    def table(segments: pd.Series) -> pd.DataFrame:
+        sizes, givens = [], []
+        for lengths in segments:
+            size = np.arange(flush + 2)
+            given = np.zeros(flush + 2, "int64")
+            for n in np.minimum(lengths, flush + 1):
+                full = size > flush
+                given += full
+                size = np.where(full, n, np.minimum(size + n, flush + 1))
+            sizes.append(size)
+            givens.append(given)
+        return pd.DataFrame({"size": sizes, "given": givens})
+
+    return table
+
+
+def _chunk_numbers(flush: int):
+    """The passage each paragraph of a segment goes to, given what is open at its start."""
+
+    @F.pandas_udf("array<long>")
+    def number(segments: pd.Series, size: pd.Series, given: pd.Series) -> pd.Series:
+        out = []
+        for lengths, length, chunk in zip(segments, size, given):
+            chunks = []
+            for n in lengths:
+                if length > flush:
+                    length, chunk = 0, chunk + 1
+                length += n
+                chunks.append(chunk)
+            out.append(chunks)
+        return pd.Series(out, dtype="object")
+
+    return number
+
+
 def _chain(tables: pd.DataFrame) -> pd.DataFrame:
     """Walk the case tables of one document; one small row per segment."""
     tables = tables.sort_values("_seg")
@@ -205,8 +219,13 @@ def page_passages(pages: DataFrame, key: str, page_no: str, text: str) -> DataFr
 
 def line_passages(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One passage per line of texts held in a column; a final newline opens no line."""
-    ends = F.regexp_replace(F.col(text), r"(?:\r\n|\r|\n)\z", "")
-    lines = F.when(F.length(text) > 0, F.split(ends, r"\r\n|\r|\n", -1))
+    body = F.col(text)
+    cut = (
+        F.when(F.endswith(body, F.lit("\r\n")), 2)
+        .when(F.endswith(body, F.lit("\n")) | F.endswith(body, F.lit("\r")), 1)
+        .otherwise(0)
+    )
+    lines = F.when(F.length(body) > 0, split_lines(F.left(body, F.length(body) - cut)))
     return docs.select(key, F.posexplode(lines).alias("chunk_pos", "text")).withColumn(
         "chunk_pos", F.col("chunk_pos").cast("long")
     )

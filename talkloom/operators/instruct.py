@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.prompts import format_example
+from talkloom.plans.numbering import number_rows
 from talkloom.sources.records import split_rejects
 
+MAX_TOP = 100_000
+
 
 def prompt_records(records: DataFrame) -> DataFrame:
     """Replace ``instruction, input, output`` by ``context, target``; other columns stay.
@@ -27,5 +30,11 @@ def rejected_records(records: DataFrame) -> DataFrame:
 
 
 def first_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of the given order."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows of the given unique order.
+
+    A small ``n`` is taken from the top of each partition; a large one by numbering all rows,
+    since a large limit would bring its rows into one task.
+    """
+    if n <= MAX_TOP:
+        return df.orderBy(*order).limit(n)
+    return number_rows(df, order, "_number").filter(F.col("_number") < n).drop("_number")

@@ -108,7 +108,7 @@ def l2_range_context(
 
     The distance is the squared L2 distance and the texts are joined without a separator.
     """
-    scored = score_pairs(queries, passages, "l2", cut=radius)
+    scored = score_pairs(queries, passages, "l2", cut=radius, top_k=k)
     nearest = Window.partitionBy("query_id").orderBy("score", "pos")
     kept = scored.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= k)
     texts = kept.join(passages.select("pos", "text"), "pos")

@@ -20,6 +20,7 @@ _ARROW = pa.schema(
     [("query_id", pa.int64()), ("pos", pa.int64()), ("score", pa.float64())]
 )
 _TILE = 1024
+_HELD_BYTES = 24
 
 
 def score_pairs(
@@ -33,8 +34,10 @@ def score_pairs(
     """``(query_id, pos, score)`` of ``queries(query_id, embedding)`` and ``passages(pos, embedding)``.
 
     ``cosine`` keeps scores of at least ``cut``, ``l2`` (squared distance) keeps scores
-    below it. With ``top_k`` each task gives its own best; rank them to finish. Ties go
-    to the lower ``pos``. Zero and null vectors have no cosine and match nothing.
+    below it. With ``top_k`` each task gives its own best; rank them to finish. Where holding
+    ``top_k`` rows per query would take more than ``block_bytes`` and there is a cut, tasks
+    give everything inside the cut instead. Ties go to the lower ``pos``. Zero and null
+    vectors have no cosine and match nothing.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -46,13 +49,16 @@ def score_pairs(
 
     count, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
     row_bytes = 8 * (width or 1)
-    if count * row_bytes <= block_bytes:
+    block_rows = max(1, block_bytes // row_bytes)
+    if top_k is not None and cut is not None:
+        if min(count, block_rows) * top_k * _HELD_BYTES > block_bytes:
+            top_k = None
+    if count <= block_rows:
         # Bounded by the check just made.
         ids, vectors = _matrix(q.toArrow(), metric)
         shared = q.sparkSession.sparkContext.broadcast((ids, vectors))
         return p.mapInArrow(_against(shared, metric, cut, top_k), SCORED)
 
-    block_rows = max(1, block_bytes // row_bytes)
     q_blocks = -(-count // block_rows)
     p_blocks = max(1, -(-p.count() // block_rows))
     left = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn(
@@ -113,7 +119,7 @@ class _Keeper:
         self.norms = np.einsum("ij,ij->i", vectors, vectors) if len(ids) else None
         # Best first is smallest first: cosine is held negated.
         self.limit = np.full(len(ids), np.inf)
-        self.held = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def add(self, pos: np.ndarray, passages: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(self.ids) or not len(pos):
@@ -127,11 +133,11 @@ class _Keeper:
                 if self.top_k is None:
                     yield self._batch(rows, block_pos[cols], cost)
                 else:
-                    self._hold(rows, block_pos[cols], cost)
+                    self._hold(q0, rows, block_pos[cols], cost)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if len(self.held[0]):
-            yield self._batch(*self.held)
+        for held in self.held.values():
+            yield self._batch(*held)
 
     def _survivors(self, q0, block):
         mine = self.vectors[q0 : q0 + _TILE]
@@ -152,16 +158,16 @@ class _Keeper:
         rows, cols = np.nonzero(keep)
         return rows + q0, cols, cost[rows, cols]
 
-    def _hold(self, rows, pos, cost):
-        rows = np.concatenate([self.held[0], rows])
-        pos = np.concatenate([self.held[1], pos])
-        cost = np.concatenate([self.held[2], cost])
+    def _hold(self, q0, rows, pos, cost):
+        if q0 in self.held:
+            held = self.held[q0]
+            rows, pos, cost = (np.concatenate(pair) for pair in zip(held, (rows, pos, cost)))
         order = np.lexsort((pos, cost, rows))
         rows, pos, cost = rows[order], pos[order], cost[order]
         first = np.searchsorted(rows, rows, side="left")
         rank = np.arange(len(rows)) - first
         top = rank < self.top_k
-        self.held = (rows[top], pos[top], cost[top])
+        self.held[q0] = (rows[top], pos[top], cost[top])
         last = rank == self.top_k - 1
         self.limit[rows[last]] = cost[last]
 

@@ -53,9 +53,13 @@ def training_batches(
 
 
 def batch_inference(
-    records: DataFrame, order: list[str], n: int, generator: Callable[[], Generator]
+    records: DataFrame,
+    generator: Callable[[], Generator],
+    n: int | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Answers of the first ``n`` records: the last line of what the generator returns."""
-    prompts = prompt_records(first_n(records, order, n))
+    """Answers of all records, or of the first ``n`` in ``order``: the generator's last line."""
+    chosen = records if n is None else first_n(records, order, n)
+    prompts = prompt_records(chosen)
     replies = generate(prompts, generator, "context", "raw")
     return replies.withColumn("answer", last_line(F.col("raw"))).drop("raw")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkloom.functions.strings import split_lines
 from talkloom.sources.schemas import PARSED_UNIT
 
 
+# At some 200 bytes per split the counts of this many splits fit well into memory.
+MAX_BROADCAST_SPLITS = 200_000
+
+
 def numbered_lines(
     spark: SparkSession, path: str, glob: str | None = None, keep_final_empty: bool = False
 ) -> DataFrame:
@@ -45,6 +51,8 @@ def numbered_lines(
         "block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_row")).alias("shift"),
     )
+    if _most_splits(spark, listing.load(path)) <= MAX_BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
     numbered = lines.join(starts, ["file", "block"]).select(
         "file", (F.col("row") + F.col("shift")).alias("pos"), "text"
     )
@@ -68,6 +76,23 @@ def numbered_lines(
     return numbered.unionByName(final).unionByName(hollow)
 
 
+def _most_splits(spark: SparkSession, files: DataFrame) -> int:
+    """An upper bound for the number of splits Spark reads the files in, from their sizes alone."""
+    count, size = files.agg(F.count("*"), F.sum("length")).first()
+    if not count:
+        return 0
+    per_core = size // spark.sparkContext.defaultParallelism
+    largest = _setting(spark, "spark.sql.files.maxPartitionBytes")
+    smallest = _setting(spark, "spark.sql.files.openCostInBytes")
+    return count + size // max(1, min(largest, max(smallest, per_core)))
+
+
+def _setting(spark: SparkSession, name: str) -> int:
+    """A size setting in bytes, written like ``134217728b`` or ``128m``."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", spark.conf.get(name).lower()).groups()
+    return int(number) * 1024 ** " kmgt".index(unit or " ") if unit != "b" else int(number)
+
+
 def read_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every ``.txt`` file right in ``folder``, blank lines included."""
     return numbered_lines(spark, folder, glob="*.txt")
@@ -80,9 +105,9 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
 
 def knowledge_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """The same rule for knowledge texts already held in a column: ``(key, pos, text)``."""
-    return df.select(
-        key, F.posexplode(F.split(F.col(text), r"\r\n|\r|\n", -1)).alias("pos", "text")
-    ).withColumn("pos", F.col("pos").cast("long"))
+    return df.select(key, F.posexplode(split_lines(F.col(text))).alias("pos", "text")).withColumn(
+        "pos", F.col("pos").cast("long")
+    )
 
 
 Parser = Callable[[bytes], list[str]]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -34,6 +35,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/talkloom/{app}/{tag}-{uuid.uuid4().hex}"
 
 
+def small_table(spark: SparkSession, columns: dict[str, list], **types: pa.DataType) -> DataFrame:
+    """A table given in the program; Spark knows its size and broadcasts it when joined.
+
+    Columns are strings unless a type is given by name.
+    """
+    schema = pa.schema([(name, types.get(name, pa.string())) for name in columns])
+    return spark.createDataFrame(pa.table(columns, schema=schema))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet and go on from the stored rows."""
     spark = df.sparkSession
