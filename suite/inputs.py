@@ -103,20 +103,20 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as a stored answer page of both sources, its list entries as answers."""
-    stored = pages(spark, sf_dir)
     first = (
         '<div class="List-item"><h2>$1</h2><span class="RichText ztext '
         'CopyrightRichText-richText css-117anjg">$2 <b>$1</b></span></div>'
     )
     second = '<div class="rich-content-container rich-text-">$2<br>$1</div>'
-    return stored.select(
-        F.concat(F.lit("https://www.zhihu.com/question/"), F.col("page_id")).alias("url"),
-        F.regexp_replace("html", LIST_LINK, first).alias("html"),
-    ).unionByName(
-        stored.select(
-            F.concat(F.lit("https://zhidao.baidu.com/question/"), F.col("page_id")).alias("url"),
-            F.regexp_replace("html", LIST_LINK, second).alias("html"),
-        )
+    forms = F.array(
+        F.struct(F.lit("https://www.zhihu.com/question/").alias("site"), F.lit(first).alias("entry")),
+        F.struct(
+            F.lit("https://zhidao.baidu.com/question/").alias("site"), F.lit(second).alias("entry")
+        ),
+    )
+    return pages(spark, sf_dir).withColumn("form", F.explode(forms)).select(
+        F.concat(F.col("form.site"), F.col("page_id")).alias("url"),
+        F.regexp_replace("html", F.lit(LIST_LINK), F.col("form.entry")).alias("html"),
     )
 
 

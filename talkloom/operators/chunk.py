@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.strings import split_lines
 from talkloom.plans.segments import segment_of
+from talkloom.sources.scratch import written
 
 
 def packed(
@@ -28,14 +29,19 @@ def packed(
     paragraph reached, then proof that another one follows. ``\\G`` ties each match to the
     end of the last. Paragraphs that hold the separator themselves take the fold instead.
     """
-    kept = F.filter(paragraphs, lambda p: F.length(p) > min_len)
     sep = "\\x{%x}" % ord(separator)
     body = rf"(?:{sep}?+[^{sep}]){{{flush + 1}}}[^{sep}]*+(?={sep})"
     pattern = rf"\G{body}" if not keep_tail else rf"\G(?:{body}|(?s:.+)\z)"
-    found = F.regexp_extract_all(F.array_join(kept, separator), F.lit(pattern), F.lit(0))
-    by_match = F.transform(found, lambda t: F.replace(t, F.lit(separator), F.lit("")))
-    holds = F.exists(kept, lambda p: F.contains(p, F.lit(separator)))
-    return F.when(holds, _folded(kept, keep_tail, flush)).otherwise(by_match)
+
+    def passages(kept: Column) -> Column:
+        found = F.regexp_extract_all(F.array_join(kept, separator), F.lit(pattern), F.lit(0))
+        by_match = F.transform(found, lambda t: F.replace(t, F.lit(separator), F.lit("")))
+        holds = F.contains(F.array_join(kept, ""), F.lit(separator))
+        return F.when(holds, _folded(kept, keep_tail, flush)).otherwise(by_match)
+
+    # The outer one-element array makes the filtered paragraphs once for all their uses.
+    kept = F.filter(paragraphs, lambda p: F.length(p) > min_len)
+    return F.get(F.transform(F.array(kept), passages), 0)
 
 
 def _folded(kept: Column, keep_tail: bool, flush: int) -> Column:
@@ -91,7 +97,8 @@ def pack_paragraph_rows(
     ).filter(F.length("_text") > min_len)
     kept = kept.withColumn("_seg", segment_of("_pos", segment))
 
-    large = kept.filter(F.col("_pos") >= segment).select("_key").distinct()
+    # Reads no text: a document is large by its positions.
+    large = rows.filter(F.col(pos) >= segment).select(F.col(key).alias("_key")).distinct()
     lengths = (
         kept.select("_key", "_seg", "_pos", F.length("_text").alias("n"))
         .join(large, "_key", "left_semi")
@@ -235,7 +242,9 @@ def build_corpus(units: DataFrame, lines: DataFrame, keep_tail: bool = False) ->
     """One corpus ``(file, kind, chunk_pos, text)`` of packed paragraphs, pages and lines.
 
     ``units`` are parsed files: kind ``docx`` rows are paragraphs, ``pdf`` rows are pages.
+    They are stored first, so that no file is parsed twice.
     """
+    units = written(units, "units")
     packed_rows = pack_paragraph_rows(
         units.filter(F.col("kind") == "docx"), "file", keep_tail=keep_tail
     )

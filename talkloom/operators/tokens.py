@@ -84,9 +84,7 @@ def tokenize_corpus(
 def assign_batches(df: DataFrame, batch_size: int, order: list[str]) -> DataFrame:
     """Add ``batch_id``: each run of ``batch_size`` rows in the unique order is one batch."""
     numbered = number_rows(df, order, "_number")
-    return numbered.withColumn("batch_id", F.floor(F.col("_number") / F.lit(batch_size))).drop(
-        "_number"
-    )
+    return numbered.withColumn("batch_id", F.expr(f"_number div {int(batch_size)}")).drop("_number")
 
 
 def collate(df: DataFrame, pad_id: int = 0, side: str = "right") -> DataFrame:

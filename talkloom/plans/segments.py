@@ -15,7 +15,7 @@ SEGMENT = 4096
 
 
 def segment_of(order: str, segment: int):
-    return F.floor(F.col(order) / F.lit(segment)).cast("long")
+    return F.expr(f"`{order}` div {int(segment)}")
 
 
 def next_row(
