@@ -121,7 +121,7 @@ def _history(pairs, **options):
 
 
 def h2_history(spark, sf_dir):
-    return _history(I.pairs(spark, sf_dir))
+    return _history(I.pairs(spark, sf_dir), turns=I.table(spark, sf_dir, "conversations"))
 
 
 def h2_history_segments(spark, sf_dir):
@@ -139,7 +139,7 @@ def h3_no_history(spark, sf_dir):
 
 def h4_seed_system(spark, sf_dir):
     turns = I.table(spark, sf_dir, "conversations")
-    seeded = H.seed_system(H.history_before(H.pair_turns(turns)), turns)
+    seeded = H.seed_system(H.history_before(H.pair_turns(turns), turns=turns), turns)
     said = F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"]))
     return seeded.select(
         "conv_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.tools import SYSTEM_CONTENT, tool_specs
-from talkloom.plans.segments import SEGMENT, next_row, segment_of
+from talkloom.plans.segments import SEGMENT, has_long_groups, next_row, segment_of
 
 PAIR = "array<struct<prompt:string,resp:string>>"
 
@@ -30,18 +30,23 @@ def history_before(
     pairs: DataFrame,
     add_history: bool = True,
     max_pairs: int | None = None,
+    turns: DataFrame | None = None,
     segment: int = SEGMENT,
 ) -> DataFrame:
     """Add ``history``: the earlier pairs of the conversation, oldest first.
 
     ``add_history=False`` keeps every history empty. ``max_pairs`` keeps the latest ones.
     A long conversation is worked on in segments; the pairs of earlier segments are
-    put in front.
+    put in front. Give the stored ``turns`` the pairs come from, if at hand: whether any
+    conversation is long is then read off them instead of making the pairs twice.
     """
     if not add_history:
         return pairs.withColumn("history", F.array().cast(PAIR))
     pair = F.struct("prompt", "resp")
     start = Window.unboundedPreceding if max_pairs is None else -max_pairs
+    if not has_long_groups(pairs if turns is None else turns, "turn", segment):
+        whole = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(start, -1)
+        return pairs.withColumn("history", F.collect_list(pair).over(whole).cast(PAIR))
     rows = pairs.withColumn("_seg", segment_of("turn", segment))
     inside = Window.partitionBy("conv_id", "_seg").orderBy("turn").rowsBetween(start, -1)
     local = rows.withColumn("history", F.collect_list(pair).over(inside))

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.functions.rows import exploded
 from talkloom.functions.strings import split_lines
-from talkloom.plans.segments import segment_of
+from talkloom.plans.segments import has_long_groups, segment_of
 from talkloom.sources.scratch import written
 
 
@@ -69,9 +70,7 @@ def pack_paragraphs(
 ) -> DataFrame:
     """``(key, chunk_pos, text)`` of documents that hold their paragraphs in one row. No shuffle."""
     passages = packed(paragraphs, keep_tail, **limits)
-    return docs.select(key, F.posexplode(passages).alias("chunk_pos", "text")).withColumn(
-        "chunk_pos", F.col("chunk_pos").cast("long")
-    )
+    return exploded(docs, key, passages, "chunk_pos", "text")
 
 
 def pack_paragraph_rows(
@@ -90,33 +89,22 @@ def pack_paragraph_rows(
     length of the open passage, which has ``flush + 2`` cases. So each segment of a long
     document is reduced to a small table, case in to case out; chaining these tables
     gives the case each segment starts with, and the segments are packed side by side.
-    Documents within the first segment need no table.
+    Documents within the first segment need no table. If all are, each is packed as one row.
     """
     kept = rows.select(
         F.col(key).alias("_key"), F.col(pos).alias("_pos"), F.col(text).alias("_text")
     ).filter(F.length("_text") > min_len)
     kept = kept.withColumn("_seg", segment_of("_pos", segment))
 
-    # Reads no text: a document is large by its positions.
-    large = rows.filter(F.col(pos) >= segment).select(F.col(key).alias("_key")).distinct()
-    lengths = (
-        kept.select("_key", "_seg", "_pos", F.length("_text").alias("n"))
-        .join(large, "_key", "left_semi")
-        .groupBy("_key", "_seg")
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", "n"))).alias("ns"))
-    )
-
-    tables = lengths.select("_key", "_seg", _case_table(flush)(F.col("ns.n")).alias("table"))
-    tables = tables.select("_key", "_seg", "table.size", "table.given")
-    key_type = kept.schema["_key"].dataType.simpleString()
-    starts = tables.groupBy("_key").applyInPandas(
-        _chain, f"_key {key_type}, _seg long, _size int, _given long"
-    )
-
-    blocks = kept.groupBy("_key", "_seg").agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "_text"))).alias("paragraphs")
-    )
-    opened = blocks.join(starts, ["_key", "_seg"], "left").withColumns(
+    gathered = F.sort_array(F.collect_list(F.struct("_pos", "_text"))).alias("paragraphs")
+    if not has_long_groups(rows, pos, segment):
+        docs = kept.groupBy("_key").agg(gathered).withColumnRenamed("_key", key)
+        return pack_paragraphs(
+            docs, key, F.col("paragraphs._text"), keep_tail, min_len=min_len, flush=flush
+        )
+    starts = _segment_starts(rows, kept, key, pos, flush, segment)
+    opened = kept.groupBy("_key", "_seg").agg(gathered).join(starts, ["_key", "_seg"], "left")
+    opened = opened.withColumns(
         {
             "_size": F.coalesce("_size", F.lit(0)),
             "_given": F.coalesce("_given", F.lit(0).cast("long")),
@@ -158,6 +146,24 @@ def pack_paragraph_rows(
     )
 
 
+def _segment_starts(rows, kept, key, pos, flush, segment) -> DataFrame:
+    """``(_key, _seg, _size, _given)``: what is open where each segment of a long document starts."""
+    # Reads no text: a document is long by its positions.
+    large = rows.filter(F.col(pos) >= segment).select(F.col(key).alias("_key")).distinct()
+    lengths = (
+        kept.select("_key", "_seg", "_pos", F.length("_text").alias("n"))
+        .join(large, "_key", "left_semi")
+        .groupBy("_key", "_seg")
+        .agg(F.sort_array(F.collect_list(F.struct("_pos", "n"))).alias("ns"))
+    )
+    tables = lengths.select("_key", "_seg", _case_table(flush)(F.col("ns.n")).alias("table"))
+    tables = tables.select("_key", "_seg", "table.size", "table.given")
+    key_type = kept.schema["_key"].dataType.simpleString()
+    return tables.groupBy("_key").applyInPandas(
+        _chain, f"_key {key_type}, _seg long, _size int, _given long"
+    )
+
+
 def _piece(chunk: Column, pos: Column, text: Column, closed: bool) -> Column:
     return F.struct(
         chunk.alias("chunk_pos"),
@@ -233,9 +239,7 @@ def line_passages(docs: DataFrame, key: str, text: str) -> DataFrame:
         .otherwise(0)
     )
     lines = F.when(F.length(body) > 0, split_lines(F.left(body, F.length(body) - cut)))
-    return docs.select(key, F.posexplode(lines).alias("chunk_pos", "text")).withColumn(
-        "chunk_pos", F.col("chunk_pos").cast("long")
-    )
+    return exploded(docs, key, lines, "chunk_pos", "text")
 
 
 def build_corpus(units: DataFrame, lines: DataFrame, keep_tail: bool = False) -> DataFrame:

@@ -1,9 +1,9 @@
 """Looking at the neighbour row inside a group that may be far too large for one task.
 
-A group is cut into segments of its order column. Each window runs over one segment,
-and only the first or last row of a segment crosses to its neighbour. Groups that fit in
-segment zero, which is nearly all of them, never reach the second part: its input is the
-filter ``order >= segment``, pushed down to the scan.
+If no order value reaches the segment length, every group is small and one plain window
+does. This is checked first, by a filter on the order column that stored tables answer
+from their statistics. Otherwise groups are cut into segments of the order column: each
+window runs over one segment, and only its first or last row crosses to the neighbour.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ def segment_of(order: str, segment: int):
     return F.expr(f"`{order}` div {int(segment)}")
 
 
+def has_long_groups(df: DataFrame, order: str, segment: int = SEGMENT) -> bool:
+    """Whether any group may hold more than ``segment`` rows, its order counting from 0."""
+    return not df.select(order).filter(F.col(order) >= segment).isEmpty()
+
+
 def next_row(
     df: DataFrame, key: list[str], order: str, columns: list[str], out: str, segment: int = SEGMENT
 ) -> DataFrame:
@@ -37,6 +42,10 @@ def previous_row(
 
 def _neighbour(df, key, order, columns, out, segment, ahead):
     value = F.struct(*columns)
+    if not has_long_groups(df, order, segment):
+        whole = Window.partitionBy(*key).orderBy(order)
+        shifted = F.lead(value).over(whole) if ahead else F.lag(value).over(whole)
+        return df.withColumn(out, shifted)
     parts = [*key, "_seg"]
     rows = df.withColumn("_seg", segment_of(order, segment))
     inside = Window.partitionBy(*parts).orderBy(order)

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkloom.functions.rows import exploded
 from talkloom.functions.strings import split_lines
 from talkloom.sources.schemas import PARSED_UNIT
+from talkloom.sources.scratch import small_table
 
 
 # At some 200 bytes per split the counts of this many splits fit well into memory.
@@ -68,11 +70,12 @@ def numbered_lines(
     )
     closed = (F.col("bytes") - F.col("body") == F.col("n_raw")) | F.col("cr")
     final = ends.filter(closed).select("file", F.col("n").alias("pos"), F.lit("").alias("text"))
-    hollow = listing.load(path).filter(F.col("length") == 0).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.lit(0).cast("long").alias("pos"),
-        F.lit("").alias("text"),
-    )
+    # Scans pass over files without a byte; they are known from the listing the driver holds.
+    files = listing.load(path)
+    known = [re.sub(r"^file:/+", "file:/", f) for f in files.inputFiles()]
+    read = files.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file"))
+    hollow = small_table(spark, {"file": known}).join(read, "file", "left_anti")
+    hollow = hollow.select("file", F.lit(0).cast("long").alias("pos"), F.lit("").alias("text"))
     return numbered.unionByName(final).unionByName(hollow)
 
 
@@ -105,9 +108,7 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
 
 def knowledge_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """The same rule for knowledge texts already held in a column: ``(key, pos, text)``."""
-    return df.select(key, F.posexplode(split_lines(F.col(text))).alias("pos", "text")).withColumn(
-        "pos", F.col("pos").cast("long")
-    )
+    return exploded(df, key, split_lines(F.col(text)), "pos", "text")
 
 
 Parser = Callable[[bytes], list[str]]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkloom.functions.rows import exploded
 from talkloom.sources.lines import numbered_lines
 from talkloom.sources.schemas import INSTRUCTION
 
@@ -19,9 +20,8 @@ def read_instructions(spark: SparkSession, path: str, schema: T.StructType = INS
     """
     raw = spark.read.text(path, wholetext=True)
     rows = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(rows).alias("pos", "record")
-    ).select("file", F.col("pos").cast("long").alias("pos"), "record.*")
+    files = raw.select(F.col("_metadata.file_path").alias("file"), "value")
+    return exploded(files, "file", rows, "pos", "record").select("file", "pos", "record.*")
 
 
 def read_jsonl(
