@@ -11,7 +11,6 @@ from talkloom.operators import retrieve as R
 from talkloom.sources.scratch import scratch_path
 
 NEAR = 0.3
-RADIUS = 1.4
 
 
 def letter_encoder():
@@ -63,14 +62,12 @@ def r3_cosine_scores_blocks(spark, sf_dir):
 
 def r4_rank(spark, sf_dir):
     scores = R.cosine_scores(I.question_vectors(spark, sf_dir), I.passage_vectors(spark, sf_dir), NEAR)
-    return R.rank_desc(scores).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+    return R.rank_desc(scores).select("query_id", "pos", "rank")
 
 
 def r4_top_k(spark, sf_dir):
     scores = R.cosine_scores(I.question_vectors(spark, sf_dir), I.passage_vectors(spark, sf_dir), NEAR)
-    return R.rank_desc(scores, top_k=3).select(
-        "query_id", "pos", F.col("rank").cast("long").alias("rank")
-    )
+    return R.rank_desc(scores, top_k=3).select("query_id", "pos", "rank")
 
 
 def r5_best_match(spark, sf_dir):
@@ -86,7 +83,7 @@ def r6_threshold_matches(spark, sf_dir):
 
 
 def r8_l2_range(spark, sf_dir):
-    """Squared distance of the mixed vectors to every passage, nearest five in the radius."""
+    """Every passage is measured; of those in the radius the nearest five are joined."""
     return R.l2_range_context(
         I.question_vectors(spark, sf_dir), I.passages(spark, sf_dir), radius=2.2, k=5
     )

@@ -42,6 +42,11 @@ def load_once(key: str, factory: Callable[[], Callable]) -> Callable:
     return _LOADED[key]
 
 
+def run_once(udf):
+    """Keep Spark from copying a costly call into filters that look at its result."""
+    return udf.asNondeterministic()
+
+
 def token_ids(text: Column, tokenizer: Callable[[], Tokenizer]) -> Column:
     """Token ids by a plugged tokenizer, in Arrow batches."""
 
@@ -53,7 +58,7 @@ def token_ids(text: Column, tokenizer: Callable[[], Tokenizer]) -> Column:
         for batch in batches:
             yield pd.Series(run(batch.tolist()), dtype="object")
 
-    return F.when(text.isNotNull(), encode(F.coalesce(text, F.lit(""))))
+    return F.when(text.isNotNull(), run_once(encode)(F.coalesce(text, F.lit(""))))
 
 
 def code_points(text: Column) -> Column:
@@ -74,7 +79,7 @@ def embedding(text: Column, encoder: Callable[[], Encoder]) -> Column:
         for batch in batches:
             yield pd.Series([list(v) for v in run(batch.tolist())], dtype="object")
 
-    return F.when(text.isNotNull(), encode(F.coalesce(text, F.lit(""))))
+    return F.when(text.isNotNull(), run_once(encode)(F.coalesce(text, F.lit(""))))
 
 
 def generate(
@@ -90,7 +95,8 @@ def generate(
         for batch in batches:
             yield pd.Series(run(batch.tolist()), dtype="object")
 
-    return df.withColumn(reply, answer(F.col(prompt)))
+    text = run_once(answer)(F.coalesce(F.col(prompt), F.lit("")))
+    return df.withColumn(reply, F.when(F.col(prompt).isNotNull(), text))
 
 
 def apply_tools(

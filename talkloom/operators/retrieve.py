@@ -16,6 +16,7 @@ from talkloom.functions.prompts import query_instruction
 from talkloom.functions.strings import route_by_length
 from talkloom.plans.numbering import number_rows
 from talkloom.plans.scoring import score_pairs
+from talkloom.sources.scratch import written
 
 
 def embed_passages(passages: DataFrame, encoder: Callable[[], Encoder]) -> DataFrame:
@@ -53,12 +54,15 @@ def rank_desc(scores: DataFrame, top_k: int | None = None) -> DataFrame:
     """
     if top_k is not None:
         best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "pos")
-        return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
-    numbered = number_rows(scores, ["query_id", F.desc("sim"), "pos"], "_number")
+        ranked = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+        return ranked.withColumn("rank", F.col("rank").cast("long"))
+    # Stored first: the sampling of the range bounds would make the scores a second time.
+    stored = written(scores, "scores")
+    numbered = number_rows(stored, ["query_id", F.desc("sim"), "pos"], "_number")
     starts = numbered.groupBy("query_id").agg(F.min("_number").alias("_first"))
     return (
         numbered.join(starts, "query_id")
-        .withColumn("rank", (F.col("_number") - F.col("_first") + 1).cast("int"))
+        .withColumn("rank", F.col("_number") - F.col("_first") + 1)
         .drop("_number", "_first")
     )
 

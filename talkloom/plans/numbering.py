@@ -13,7 +13,8 @@ def number_rows(df: DataFrame, order: list[str | Column], out: str = "number") -
 
     ``order`` must be unique per row. Rows are range partitioned on it, so even a single
     hot key spreads over tasks, and numbered inside their partition. The result is
-    written once: range bounds come from a sample and may not be computed twice. The
+    written once: range bounds come from a sample and may not be computed twice. Taking
+    the sample reads ``df`` an extra time, so store it first if it is costly to make. The
     counts that shift each partition are one row per partition, hence the broadcast.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
