@@ -82,6 +82,7 @@ def pack_paragraph_rows(
     min_len: int = 1,
     flush: int = 150,
     segment: int = 1024,
+    run: int = 1024,
 ) -> DataFrame:
     """The same passages from one row per paragraph, for documents of any length.
 
@@ -102,7 +103,7 @@ def pack_paragraph_rows(
         return pack_paragraphs(
             docs, key, F.col("paragraphs._text"), keep_tail, min_len=min_len, flush=flush
         )
-    starts = _segment_starts(rows, kept, key, pos, flush, segment)
+    starts = _segment_starts(rows, kept, key, pos, flush, segment, run)
     opened = kept.groupBy("_key", "_seg").agg(gathered).join(starts, ["_key", "_seg"], "left")
     opened = opened.withColumns(
         {
@@ -146,7 +147,7 @@ def pack_paragraph_rows(
     )
 
 
-def _segment_starts(rows, kept, key, pos, flush, segment) -> DataFrame:
+def _segment_starts(rows, kept, key, pos, flush, segment, run) -> DataFrame:
     """``(_key, _seg, _size, _given)``: what is open where each segment of a long document starts."""
     # Reads no text: a document is long by its positions.
     large = rows.filter(F.col(pos) >= segment).select(F.col(key).alias("_key")).distinct()
@@ -158,9 +159,19 @@ def _segment_starts(rows, kept, key, pos, flush, segment) -> DataFrame:
     )
     tables = lengths.select("_key", "_seg", _case_table(flush)(F.col("ns.n")).alias("table"))
     tables = tables.select("_key", "_seg", "table.size", "table.given")
+    # Chained in two levels, so that no task holds more than a short run of tables.
+    grouped = tables.withColumn("_run", segment_of("_seg", run))
     key_type = kept.schema["_key"].dataType.simpleString()
-    return tables.groupBy("_key").applyInPandas(
-        _chain, f"_key {key_type}, _seg long, _size int, _given long"
+    runs = grouped.groupBy("_key", "_run").applyInPandas(
+        _compose, f"_key {key_type}, _run long, size array<int>, given array<long>"
+    )
+    run_starts = runs.groupBy("_key").applyInPandas(
+        _chain("_run"), f"_key {key_type}, _run long, _size int, _given long"
+    )
+    return (
+        grouped.join(run_starts, ["_key", "_run"])
+        .groupBy("_key", "_run")
+        .applyInPandas(_chain("_seg"), f"_key {key_type}, _seg long, _size int, _given long")
     )
 
 
@@ -212,19 +223,39 @@ def _chunk_numbers(flush: int):
     return number
 
 
-def _chain(tables: pd.DataFrame) -> pd.DataFrame:
-    """Walk the case tables of one document; one small row per segment."""
+def _compose(tables: pd.DataFrame) -> pd.DataFrame:
+    """One table for a run of segments."""
     tables = tables.sort_values("_seg")
-    sizes, givens, size, given = [], [], 0, 0
+    size, given = np.arange(len(tables["size"].iloc[0])), 0
     for out_size, out_given in zip(tables["size"], tables["given"]):
-        sizes.append(size)
-        givens.append(given)
-        size, given = int(out_size[size]), given + int(out_given[size])
+        given = given + out_given[size]
+        size = out_size[size]
+    first = tables.iloc[0]
     return pd.DataFrame(
-        {"_key": tables["_key"], "_seg": tables["_seg"], "_size": sizes, "_given": givens}
+        {"_key": [first["_key"]], "_run": [first["_run"]], "size": [size], "given": [given]}
     )
 
 
+def _chain(order: str):
+    """Walk tables in order, from the start given with them or from an empty passage."""
+
+    def walk(tables: pd.DataFrame) -> pd.DataFrame:
+        tables = tables.sort_values(order)
+        size, given = 0, 0
+        if "_size" in tables:
+            size, given = int(tables["_size"].iloc[0]), int(tables["_given"].iloc[0])
+        sizes, givens = [], []
+        for out_size, out_given in zip(tables["size"], tables["given"]):
+            sizes.append(size)
+            givens.append(given)
+            size, given = int(out_size[size]), given + int(out_given[size])
+        return pd.DataFrame(
+            {"_key": tables["_key"], order: tables[order], "_size": sizes, "_given": givens}
+        )
+
+    return walk
+
+
 def page_passages(pages: DataFrame, key: str, page_no: str, text: str) -> DataFrame:
     """One passage per page, empty pages included."""
     return pages.select(key, F.col(page_no).cast("long").alias("chunk_pos"), F.col(text).alias("text"))

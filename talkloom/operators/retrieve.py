@@ -133,7 +133,13 @@ def route_retrieval(
     k: int = 100_000,
 ) -> DataFrame:
     """``(query_id, route, knowledge)``: long queries by distance, the others by cosine."""
-    routed = queries.withColumn("route", route_by_length(F.col("query"), limit))
+    # Both branches read the queries several times, but never their texts.
+    routed = written(
+        queries.select(
+            "query_id", route_by_length(F.col("query"), limit).alias("route"), "embedding"
+        ),
+        "queries",
+    )
     by_distance = routed.filter(F.col("route") == "l2").select("query_id", "embedding")
     by_cosine = routed.filter(F.col("route") == "cosine").select("query_id", "embedding")
     return (

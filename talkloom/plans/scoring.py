@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.sources.scratch import written
+
 SCORED = "query_id long, pos long, score double"
 _ARROW = pa.schema(
     [("query_id", pa.int64()), ("pos", pa.int64()), ("score", pa.float64())]
@@ -46,7 +48,8 @@ def score_pairs(
     q = queries.select(F.col("query_id").cast("long").alias("id"), "embedding")
     p = passages.select(F.col("pos").cast("long").alias("id"), "embedding")
     q, p = q.filter(F.col("embedding").isNotNull()), p.filter(F.col("embedding").isNotNull())
-
+    # Measured and then used: stored in between, an encoder behind the queries runs once.
+    q = written(q, "queries")
     count, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
     row_bytes = 8 * (width or 1)
     block_rows = max(1, block_bytes // row_bytes)

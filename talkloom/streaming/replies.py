@@ -46,16 +46,15 @@ def read_snapshots(spark: SparkSession, folder: str, files_per_batch: int | None
 def latest_snapshot_stream(stream: DataFrame, out: str, checkpoint: str):
     """Keep a log of the newest snapshots; ``latest_snapshot`` over ``read_log`` is the result.
 
-    Each micro-batch owns one folder and overwrites it when it is run again.
+    Each micro-batch is cut down to its newest snapshots and owns one folder, which it
+    overwrites when it is run again. No state is held, however many replies there are.
     """
 
-    def store(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    def store(arrived: DataFrame, epoch: int) -> None:
+        latest_snapshot(arrived).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return (
-        latest_snapshot(stream)
-        .writeStream.outputMode("update")
-        .foreachBatch(store)
+        stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -59,7 +59,7 @@ def test_row_form(spark, keep_tail, segment):
     rows = [(d, i, p) for d, ps in docs.items() for i, p in enumerate(ps)]
     random.Random(0).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id int, pos long, text string")
-    got = collected(pack_paragraph_rows(df, "doc_id", keep_tail=keep_tail, segment=segment))
+    got = collected(pack_paragraph_rows(df, "doc_id", keep_tail=keep_tail, segment=segment, run=5))
     assert got == {d: r for d, p in docs.items() if (r := replay(p, keep_tail))}
 
 
