@@ -21,8 +21,10 @@ SCORED = "query_id long, pos long, score double"
 _ARROW = pa.schema(
     [("query_id", pa.int64()), ("pos", pa.int64()), ("score", pa.float64())]
 )
-_TILE = 1024
+_TILE = 512
 _HELD_BYTES = 24
+# Numbers gathered at a time for the exact scores.
+_GATHERED = 1 << 22
 
 
 def score_pairs(
@@ -114,12 +116,18 @@ def _against(shared, metric, cut, top_k):
 
 
 class _Keeper:
-    """Scores passages tile by tile; holds ``top_k`` rows per query, or passes survivors on."""
+    """Scores passages tile by tile; holds ``top_k`` rows per query, or passes survivors on.
+
+    A matrix product finds the pairs that may count, with a slack for its rounding; those
+    alone are scored again one by one in double precision. So a score depends on its two
+    vectors only, not on where they stood, and copies tie exactly.
+    """
 
     def __init__(self, ids, vectors, metric, cut, top_k):
         self.ids, self.vectors = ids, vectors
         self.metric, self.cut, self.top_k = metric, cut, top_k
-        self.norms = np.einsum("ij,ij->i", vectors, vectors) if len(ids) else None
+        self.rough = vectors.astype("float32") if metric == "cosine" else vectors
+        self.lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         # Best first is smallest first: cosine is held negated.
         self.limit = np.full(len(ids), np.inf)
         self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -143,23 +151,48 @@ class _Keeper:
             yield self._batch(*held)
 
     def _survivors(self, q0, block):
-        mine = self.vectors[q0 : q0 + _TILE]
-        product = mine @ block.T
-        if self.metric == "cosine":
-            cost = -product
-            keep = cost <= -self.cut if self.cut is not None else np.ones(cost.shape, bool)
-        else:
-            norms = np.einsum("ij,ij->i", block, block)
-            cost = np.maximum(self.norms[q0 : q0 + _TILE, None] + norms - 2 * product, 0.0)
-            keep = cost < self.cut if self.cut is not None else np.ones(cost.shape, bool)
+        mine, limit = self.vectors[q0 : q0 + _TILE], self.limit[q0 : q0 + _TILE]
+        cost, slack = self._rough_cost(q0, block)
+        bound = np.inf if self.cut is None else -self.cut if self.metric == "cosine" else self.cut
+        bounds = np.full(len(mine), bound)
         if self.top_k is not None:
-            bound = self.limit[q0 : q0 + _TILE]
-            if cost.shape[1] > self.top_k:
-                kth = np.partition(cost, self.top_k - 1, axis=1)[:, self.top_k - 1]
-                bound = np.minimum(bound, kth)
-            keep &= cost <= bound[:, None]
-        rows, cols = np.nonzero(keep)
-        return rows + q0, cols, cost[rows, cols]
+            bounds = np.minimum(bounds, limit)
+            if np.isinf(limit).any() and cost.shape[1] > self.top_k:
+                kth = np.partition(cost + slack, self.top_k - 1, axis=1)[:, self.top_k - 1]
+                bounds = np.minimum(bounds, kth)
+        if np.ndim(slack):
+            near = cost - slack <= bounds[:, None]
+        else:
+            # Twice the slack also covers the rounding of the bound itself.
+            near = cost <= (bounds + 2 * slack).astype(cost.dtype)[:, None]
+        rows, cols = np.divmod(np.flatnonzero(near), cost.shape[1])
+        exact = self._exact_cost(mine, block, rows, cols)
+        keep = exact <= limit[rows]
+        if self.cut is not None:
+            keep &= exact <= -self.cut if self.metric == "cosine" else exact < self.cut
+        return rows[keep] + q0, cols[keep], exact[keep]
+
+    def _rough_cost(self, q0, block):
+        """All costs of a tile, and how far rounding may have moved them."""
+        mine = self.rough[q0 : q0 + _TILE]
+        terms = block.shape[1] + 8
+        if self.metric == "cosine":
+            return -(mine @ block.astype("float32").T), np.float32(terms * 2.0**-23)
+        own, other = self.lengths[q0 : q0 + _TILE, None], np.sqrt(np.einsum("ij,ij->i", block, block))
+        cost = own**2 + other**2 - 2 * (mine @ block.T)
+        return cost, (own + other) ** 2 * (terms * 2.0**-52)
+
+    def _exact_cost(self, mine, block, rows, cols):
+        cost = np.empty(len(rows))
+        step = max(1, _GATHERED // block.shape[1])
+        for start in range(0, len(rows), step):
+            part = slice(start, start + step)
+            a, b = mine[rows[part]], block[cols[part]]
+            if self.metric == "cosine":
+                cost[part] = -np.einsum("ij,ij->i", a, b)
+            else:
+                cost[part] = np.einsum("ij,ij->i", a - b, a - b)
+        return cost
 
     def _hold(self, q0, rows, pos, cost):
         if q0 in self.held:
