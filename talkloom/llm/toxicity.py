@@ -1,10 +1,12 @@
 """Toxicity: one Kneser-Ney language model for toxic texts, one for ordinary texts.
 
-Both are interpolated bigram models over one vocabulary, in which rarer words share a
-class. A bigram's discounted count backs off to the class's own continuation counts,
-and these back off to continuation counts of both classes together, so that a rare
-expression is no evidence by itself. A text's score is a calibrated function of the
-difference of its two log-likelihoods, each divided by the text's length.
+Both are interpolated bigram models over one vocabulary; a rarer word is read as its
+first letters, if these are frequent, or else as one class of unknown words. A bigram's count,
+less a discount, backs off to the bigram model of both classes together, which backs
+off to shared continuation counts; there each word is weighted by its class's share of
+continuations. So a rare expression is no evidence by itself. The two log-likelihoods are compared in windows of ``WINDOW`` words, each
+divided by the window's length: a long text does not dilute a toxic passage. The score
+is a calibrated function of the largest difference.
 
 Counts cover all labelled rows that may be learnt from. Bigrams are folded into
 ``2 ** FOLD_BITS`` cells before they are sent to the tasks, a fixed bound (24 MB); a cell
@@ -32,11 +34,15 @@ CUT = 0.7
 VOCABULARY = 1 << 14
 FOLD_BITS = 21
 DISCOUNT = 0.75
+#: Taken from a class's own bigram counts: what is seen no more often is left to the shared level.
+CLASS_DISCOUNT = 2.0
+WINDOW = 4
+STEM = 5
 #: Of the rows to learn from, one part in so many calibrates.
 CALIBRATION = 5
 BINS = 2000
 #: Differences of log-likelihood per word are cut to this range for the calibration bins.
-REACH = 2.0
+REACH = 3.0
 _HELD = 1 << 19
 _WORD = re.compile(rb"[a-z0-9'\x80-\xff]+")
 
@@ -51,10 +57,15 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        value = self[word] = self.known.get(_hash(word), 0)
+        value = self[word] = self.known.get(_hash(word)) or self.known.get(_hash(_stem(word)), 0)
         return value
 
 
+def _stem(word: bytes) -> bytes:
+    """The class of words that begin alike."""
+    return word[:STEM] + b"*"
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
@@ -64,10 +75,13 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, ordinary), summed up to a bound of held words."""
+    """(word, toxic, ordinary) for words and stems, summed up to a bound of held words."""
     held: dict[bytes, list[int]] = {}
 
     def flushed() -> pa.RecordBatch:
+        for word, counts in [*held.items()]:
+            stem = held.setdefault(_stem(word), [0, 0])
+            stem[0], stem[1] = stem[0] + counts[0], stem[1] + counts[1]
         kinds = pa.array([_hash(w) for w in held], pa.int64()), pa.array([c[1] for c in held.values()], pa.int64()), pa.array([c[0] for c in held.values()], pa.int64())
         return pa.record_batch(list(kinds), ["word", "toxic", "ordinary"])
 
@@ -129,39 +143,46 @@ class ToxicityModel:
         self.vocabulary = vocabulary
         size = VOCABULARY + 2
         self.pairs = np.zeros((2, 1 << FOLD_BITS), np.float32)
-        self.totals, self.kinds = np.zeros((2, size)), np.zeros((2, size))
-        own, pooled = np.zeros((2, size)), np.zeros(size)
+        self.totals, self.taken = np.zeros((2, size)), np.zeros((2, size))
+        own, pooled, self.kinds = np.zeros((2, size)), np.zeros(size), np.zeros(size)
         for k, name in enumerate(("ordinary", "toxic")):
             self.pairs[k, cells["cell"].to_numpy()] = cells[name].to_numpy()
             self.totals[k, contexts["word"].to_numpy()] = contexts[name].to_numpy()
-            self.kinds[k, contexts["word"].to_numpy()] = contexts[f"{name}_kinds"].to_numpy()
+            self.taken[k, contexts["word"].to_numpy()] = contexts[f"{name}_taken"].to_numpy()
             own[k, continuations["word"].to_numpy()] = continuations[f"{name}_kinds"].to_numpy()
+        self.kinds[contexts["word"].to_numpy()] = contexts["kinds"].to_numpy()
         pooled[continuations["word"].to_numpy()] = continuations["kinds"].to_numpy()
-        # The lowest level: continuations of both classes, half a count for words that have none.
-        lowest = (pooled + 0.5) / (pooled + 0.5).sum()
-        self.single = np.empty((2, size))
+        # Half a count for words without continuations.
+        self.lowest = (pooled + 0.5) / (pooled + 0.5).sum()
+        self.share = np.empty((2, size))
         for k in range(2):
-            whole, seen = own[k].sum(), (own[k] > 0).sum()
-            back = DISCOUNT * seen / whole if whole else 1.0
-            self.single[k] = np.maximum(own[k] - DISCOUNT, 0) / max(whole, 1.0) + back * lowest
+            whole = max(own[k].sum(), 1.0)
+            taken = np.minimum(own[k], DISCOUNT)
+            back = taken.sum() / whole if own[k].any() else 1.0
+            self.share[k] = (own[k] - taken) / whole / self.lowest + back
 
     def log_likelihoods(self, numbers: np.ndarray) -> np.ndarray:
-        """The log-likelihoods per word of the ordinary and the toxic model; 0 for a text without words."""
-        if len(numbers) < 2:
-            return np.zeros(2)
+        """The log-likelihood of each word by the ordinary and the toxic model."""
         first, second = numbers[:-1], numbers[1:]
-        cells = _cell(first << 20 | second)
-        out = np.empty(2)
+        counts = self.pairs[:, _cell(first << 20 | second)].astype(np.float64)
+        total = self.totals.sum(axis=0)[first]
+        shared = (np.maximum(counts.sum(axis=0) - DISCOUNT, 0) + DISCOUNT * self.kinds[first] * self.lowest[second]) / np.maximum(total, 1.0)
+        shared = np.where(total > 0, np.minimum(shared, 1.0), self.lowest[second])
+        out = np.empty((2, len(first)))
         for k in range(2):
-            total = np.maximum(self.totals[k][first], 1.0)
-            seen = np.maximum(self.pairs[k][cells] - DISCOUNT, 0) / total
-            back = np.where(self.totals[k][first] > 0, DISCOUNT * self.kinds[k][first] / total, 1.0)
-            out[k] = np.log(np.minimum(seen, 1.0) + back * self.single[k][second]).mean()
+            total = self.totals[k][first]
+            count = np.maximum(np.minimum(counts[k], total) - CLASS_DISCOUNT, 0)
+            back = np.where(total > 0, self.taken[k][first], 1.0) * shared * self.share[k][second]
+            out[k] = np.log((count + back) / np.maximum(total, 1.0))
         return out
 
     def difference(self, text: bytes, ids: WordIds) -> float:
+        """The largest difference per word in any window; a shorter text counts as a whole window."""
         ordinary, toxic = self.log_likelihoods(_numbered(text, ids))
-        return float(np.clip(toxic - ordinary, -REACH, REACH))
+        sums = np.concatenate([[0.0], np.cumsum(toxic - ordinary)])
+        if len(sums) <= WINDOW:
+            return float(np.clip(sums[-1] / WINDOW, -REACH, REACH))
+        return float(np.clip((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW, -REACH, REACH))
 
 
 def _model(learnt: DataFrame) -> ToxicityModel:
@@ -183,8 +204,12 @@ def _model(learnt: DataFrame) -> ToxicityModel:
     cells = pairs.mapInArrow(folded, "cell long, toxic long, ordinary long").groupBy("cell").agg(
         F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary")
     )
-    kinds = [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
-    by_first = pairs.groupBy(F.shiftright("pair", 20).alias("word")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), *kinds)
+    names = ("toxic", "ordinary")
+    kinds = [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in names]
+    taken = [F.sum(F.least(F.col(c).cast("double"), F.lit(CLASS_DISCOUNT))).alias(f"{c}_taken") for c in names]
+    by_first = pairs.groupBy(F.shiftright("pair", 20).alias("word")).agg(
+        *[F.sum(c).alias(c) for c in names], *taken, F.count("*").alias("kinds")
+    )
     by_second = pairs.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 20) - 1)).alias("word")).agg(*kinds, F.count("*").alias("kinds"))
     return ToxicityModel(vocabulary, cells.toArrow(), by_first.toArrow(), by_second.toArrow())
 
