@@ -7,12 +7,13 @@ batches of signature places are compared one after another; after each batch the
 dropped if, with a uniform prior on the similarity, the posterior probability that it
 reaches the threshold is below ``miss``. What is left is checked on the full sets.
 
-A bucket of n classes is not turned into n * n pairs. First each member is compared with
+A bucket of n classes is not turned into n * n rows. First each member is compared with
 one leader, the member that shares most buckets with others (in a group of edited
 copies, that is the text most of them come from). Pairs inside one component need no
-check, so the next leader is only compared with members that are still apart, and at the
-end all pairs of a bucket whose components still differ are compared. No pair that the
-bands propose is left out except by the Bayesian test.
+check. Where a bucket's components still differ, its pairs are compared: as rows if the
+bucket is small; else inside tasks that each hold two blocks of bounded size and give
+out no more links than connect their members. No pair that the bands propose is left out
+except by the Bayesian test.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-6
-LEADER_ROUNDS = 2
+#: Buckets of more members than this are compared block by block.
+SMALL_BUCKET = 48
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: A pair, a class or a decision takes 8 to 40 bytes; more rows than this are not broadcast.
-MOST_SENT = 500_000
+MOST_SENT = 300_000
 
 
 def needed_matches(places: int, percent: int, miss: float) -> int:
@@ -179,45 +182,145 @@ def near_duplicate_groups(
     members = written(
         banded.join(shared.where("low <> high").select("bucket", "size"), "bucket"), "neardup-members"
     )
-    labels: DataFrame | None = None
-    lead = written(
-        members.groupBy("cls").agg(F.sum("size").alias("weight")), "neardup-weights"
-    )
-    for turn in range(LEADER_ROUNDS + 1):
+    pairs = written(_distinct_pairs(_leader_pairs(members)), "neardup-leaders")
+    labels = _joined(None, _links(docs, doc_id, text, pairs, nodes, classes, percent, miss))
+    apart = _apart(members, labels)
+    x, y = (apart.where(F.col("size") <= SMALL_BUCKET).alias(n) for n in "xy")
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")))
+    pairs = written(_distinct_pairs(pairs.select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y"))), "neardup-pairs")
+    if not pairs.isEmpty():
+        labels = _joined(labels, _links(docs, doc_id, text, pairs, nodes, classes, percent, miss))
         apart = _apart(members, labels)
-        if turn < LEADER_ROUNDS:
-            pairs = _leader_pairs(apart, lead, turn)
-        else:
-            x, y = apart.alias("x"), apart.alias("y")
-            pairs = x.join(
-                y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
-            ).select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y"))
-        pairs = written(_distinct_pairs(pairs), "neardup-pairs")
-        likely = written(_judged(pairs, nodes, _likely(percent, miss)), "neardup-likely")
-        if likely.isEmpty():
-            if pairs.isEmpty():
-                break
-            continue
-        found = _judged(likely, _wanted_sets(docs, doc_id, text, likely, classes), _exact(percent))
-        labels = _joined(labels, written(found, "neardup-links"))
+    crowded = apart.where(F.col("size") > SMALL_BUCKET)
+    if not crowded.isEmpty():
+        labels = _joined(labels, _block_links(docs, doc_id, text, crowded, nodes, classes, percent, miss))
     return _per_row(sets, classes, labels)
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None, column: str = "cls") -> DataFrame:
-    if labels is None:
-        return rows.withColumn("component", F.col(column))
+def _links(docs, doc_id, text, pairs, nodes, classes, percent: int, miss: float) -> DataFrame:
+    """The pairs (a, b) that are links: what passes the Bayesian test, checked on full sets."""
+    likely = written(_judged(pairs, nodes, _likely(percent, miss)), "neardup-likely")
+    named = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return written(_judged(likely, _wanted_sets(docs, doc_id, text, named, classes), _exact(percent)), "neardup-links")
+
+
+def _block_links(docs, doc_id, text, crowded, nodes, classes, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) inside crowded buckets.
+
+    Buckets that have members in common form a crowd, so that a pair which shares many
+    bands is met once. A crowd is cut into blocks, and a cell is a pair of blocks.
+    """
+    lowest = crowded.groupBy("bucket").agg(F.min("cls").alias("b"))
+    crowds = components(crowded.join(lowest, "bucket").select(F.col("cls").alias("a"), "b"))
+    members = crowded.select("cls", "component").distinct().join(
+        crowds.select(F.col("node").alias("cls"), F.col("component").alias("crowd")), "cls"
+    )
+    sets = _wanted_sets(docs, doc_id, text, members.select("cls"), classes)
+    signed = nodes.withColumnRenamed("data", "signature")
+    rows = written(members.join(sets, "cls").join(signed, "cls").dropDuplicates(["cls"]), "neardup-crowds")
+    sizes = rows.groupBy("crowd").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("data")) / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    placed = rows.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "component", "signature", "data"
+    )
+    cell = ["crowd", "low", "high"]
+    near = cells.repartition(*cell).sortWithinPartitions(*cell)
+    return written(near.mapInArrow(_in_cells(percent, miss), "a long, b long"), "neardup-cells")
+
+
+def _in_cells(percent: int, miss: float):
+    steps = [(n, needed_matches(n, percent, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield _cell_links(held, steps, percent)
+                    held = []
+                held.append(row)
+        if held:
+            yield _cell_links(held, steps, percent)
+
+    return compare
+
+
+def _cell_links(rows: list[tuple], steps: list[tuple[int, int]], percent: int) -> pa.RecordBatch:
+    """The links of one cell, (crowd, low, high, block, cls, component, signature, set) rows."""
+    blocks, cls, component = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+    signatures = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(len(rows), -1)
+    bands = signatures.reshape(len(rows), BANDS, ROWS)
+    inside = rows[0][1] == rows[0][2]
+    left = np.arange(len(rows)) if inside else np.flatnonzero(blocks == rows[0][1])
+    right = left if inside else np.flatnonzero(blocks == rows[0][2])
+    met = np.zeros((len(left), len(right)), bool)
+    for band in range(BANDS):
+        # One number for each distinct band value: equal numbers are equal bands.
+        number = np.unique(bands[:, band].copy().view("V16").ravel(), return_inverse=True)[1]
+        met |= number[left][:, None] == number[right][None, :]
+    met &= component[left][:, None] != component[right][None, :]
+    a, b = np.nonzero(np.triu(met, 1) if inside else met)
+    a, b = left[a], right[b]
+    equal, start = np.zeros(len(a), np.int64), 0
+    for end, least in steps:
+        equal = equal + (signatures[a, start:end] == signatures[b, start:end]).sum(axis=1)
+        goes_on = equal >= least
+        a, b, equal, start = a[goes_on], b[goes_on], equal[goes_on], end
+    sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+    common = _common(sets, left, right, a, b)
+    sizes = np.array([len(s) for s in sets])
+    linked = 100 * common >= percent * (sizes[a] + sizes[b] - common)
+    out, root = [], {int(c): int(c) for c in component}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+        p, q = top(int(component[i])), top(int(component[j]))
+        if p != q:
+            root[p] = q
+            out.append((int(cls[i]), int(cls[j])))
+    return pa.record_batch([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each pair has in common: pair by pair, or by matrix products if pairs are many."""
+    if len(a) <= 8 * (len(left) + len(right)):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], column[shared]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    place_left, place_right = (np.full(len(sets), -1) for _ in "ab")
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    product = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        here = slice(*np.searchsorted(column, [low, low + 2048]))
+        one, two = (np.zeros((n, 2048), np.float32) for n in (len(left), len(right)))
+        for place, matrix in ((place_left, one), (place_right, two)):
+            rows = place[owner[here]]
+            matrix[rows[rows >= 0], column[here][rows >= 0] - low] = 1
+        product += one @ two.T
+    return np.rint(product[place_left[a], place_right[b]]).astype(np.int64)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, column: str = "cls") -> DataFrame:
     named = labels.select(F.col("node").alias(column), F.col("component").alias("_component"))
     return rows.join(sent_if_small(named, MOST_SENT), column, "left").select(
         *rows.columns, F.coalesce("_component", column).alias("component")
     )
 
 
-def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold two components or more."""
-    rows = _labelled(members, labels)
-    if labels is None:
-        return rows
-    rows = written(rows, "neardup-labelled")
+    rows = written(_labelled(members, labels), "neardup-labelled")
     open_buckets = (
         rows.groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -227,38 +330,24 @@ def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return written(rows.join(open_buckets, "bucket"), "neardup-apart")
 
 
-def _leader_pairs(apart: DataFrame, lead: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with the bucket's leader, where their components differ.
-
-    The leader of a later turn comes from the members outside the first leader's
-    component: the heaviest member by another order would only repeat the first turn.
-    """
-    rows = apart.join(sent_if_small(lead, MOST_SENT), "cls")
-    rank = F.struct(F.col("weight").alias("w"), (-F.col("cls")).alias("c"))
-    chosen = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "component")).alias("top"))
-    if turn:
-        best = chosen.select("bucket", F.col("top.component").alias("first"))
-        rows = rows.join(best, "bucket").where("component <> first").drop("first")
-        chosen = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "component")).alias("top"))
-    leaders = chosen.select(
-        "bucket", (-F.col("top.rank.c")).alias("leader"), F.col("top.component").alias("first")
-    )
-    return (
-        apart.join(leaders, "bucket")
-        .where("component <> first")
-        .select(F.col("cls").alias("x"), F.col("leader").alias("y"))
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's leader: the one with most company in all its buckets."""
+    weights = written(members.groupBy("cls").agg(F.sum("size").alias("weight")), "neardup-weights")
+    rows = members.join(sent_if_small(weights, MOST_SENT), "cls")
+    leaders = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("cls")).alias("c"))).alias("top"))
+    return members.join(leaders.select("bucket", (-F.col("top.c")).alias("leader")), "bucket").select(
+        F.col("cls").alias("x"), F.col("leader").alias("y")
     )
 
 
-def _wanted_sets(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, data): the full shingle sets of the classes in ``pairs``, from the texts."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = written(classes.join(sent_if_small(named, MOST_SENT), "cls"), "neardup-wanted")
+def _wanted_sets(docs: DataFrame, doc_id: str, text: str, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, data): the full shingle sets of the classes ``named`` (cls), from the texts."""
+    wanted = written(classes.join(sent_if_small(written(named, "neardup-named"), MOST_SENT), "cls"), "neardup-wanted")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = rows.join(
         sent_if_small(wanted, MOST_SENT), rows["doc_id"].eqNullSafe(wanted["rep"])
     ).select("cls", "digest", "text")
-    # Repeats of one row give one set twice; pairs are made distinct again by the components.
+    # Repeats of one row give one set twice; links are made distinct again by the components.
     return written(texts.mapInArrow(_full_sets, "cls long, data binary"), "neardup-full")
 
 
@@ -279,7 +368,7 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     )
 
 
-def _per_row(sets: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _per_row(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     named = written(_labelled(classes, labels), "neardup-named")
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     # Classes of one row and no link need no join: the row is its own component.
