@@ -16,7 +16,7 @@ from __future__ import annotations
 import io
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,31 +35,54 @@ BUCKET_KEYS = 50_000
 LEVELS = 48
 #: Room for keys in a level, as a multiple of the keys that reach it.
 ROOM = 2
-_CHUNKS_KEPT = 400_000
+_CHUNKS_KEPT, _PARTS_KEPT = 300_000, 800_000
+
+
+class PartIds(dict):
+    """Encoded ids of parts of texts, kept; it starts afresh when it is full."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.kind = tokenizer, kind
+
+    def __missing__(self, part: bytes) -> bytes:
+        if len(self) >= _PARTS_KEPT:
+            self.clear()
+        ids = self.tokenizer.encode(part.decode(errors="replace"), add_special_tokens=False).ids
+        value = self[part] = np.array(ids, self.kind).tobytes()
+        return value
 
 
 class ChunkIds(dict):
-    """Encoded ids of runs of non-space bytes; it starts afresh when it is full.
+    """Encoded ids of runs of non-space bytes, kept; it starts afresh when it is full.
 
     A tokenizer whose normaliser and splitter never look past ASCII white space gives
     the same ids for a text as for its runs one by one; ``separable`` says whether a
-    tokenizer file is of that kind.
+    tokenizer file is of that kind. A run that ends in stops after an ASCII letter is
+    two pre-tokens, and case is dropped anyway, so fewer different parts are encoded.
+    Runs with non-ASCII letters keep their case until the tokenizer has composed them;
+    so do runs with ``<``, which may be special tokens.
     """
 
-    def __init__(self, tokenizer, kind: str):
+    def __init__(self, parts: PartIds):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.parts = parts
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= _CHUNKS_KEPT:
             self.clear()
-        ids = self.tokenizer.encode(chunk.decode(errors="replace"), add_special_tokens=False).ids
-        value = self[chunk] = np.array(ids, self.kind).tobytes()
+        part = chunk.lower() if chunk.isascii() and b"<" not in chunk else chunk
+        word = part.rstrip(b".,;:!?")
+        if b"<" not in part and len(word) < len(part) and word[-1:].isalpha():
+            value = self.parts[word] + self.parts[part[len(word) :]]
+        else:
+            value = self.parts[part]
+        self[chunk] = value
         return value
 
 
 def separable(tokenizer_json: str) -> bool:
-    """Whether white space is dropped and no step can see across it: the case of word BPE."""
+    """Whether case and white space are dropped and no step can see across white space: the case of word BPE."""
     spec = json.loads(tokenizer_json)
 
     def steps(part: dict | None, name: str) -> list[dict]:
@@ -67,23 +90,33 @@ def separable(tokenizer_json: str) -> bool:
 
     splits = steps(spec["pre_tokenizer"], "pretokenizers")
     plain = all(s["type"] in ("NFC", "Lowercase") or (s["type"], s.get("content")) == ("Replace", " ") for s in steps(spec["normalizer"], "normalizers"))
+    plain = plain and any(s["type"] == "Lowercase" for s in steps(spec["normalizer"], "normalizers"))
     first = splits[0] if splits else {}
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s" in first["pattern"].get("Regex", "")
     added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
     return bool(plain and drops and added and spec["post_processor"] is None and spec["model"]["type"] == "BPE")
 
 
-def _encoder(path: str, kind: str):
-    """text bytes -> ids as bytes, without the end id."""
-    from tokenizers import Tokenizer
+#: Encoders of this Python worker, which serves many tasks: known words stay known.
+_ENCODERS: dict[tuple[str, str], Callable[[bytes], bytes]] = {}
+
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_padding()
-    tokenizer.no_truncation()
-    if not separable(tokenizer.to_str()):
-        return lambda text: np.array(tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, kind).tobytes()
-    known = ChunkIds(tokenizer, kind)
-    return lambda text: b"".join(map(known.__getitem__, text.split()))
+def _encoder(path: str, kind: str) -> Callable[[bytes], bytes]:
+    """text bytes -> ids as bytes, without the end id."""
+    if (path, kind) not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        if separable(tokenizer.to_str()):
+            known = ChunkIds(PartIds(tokenizer, kind))
+            _ENCODERS[path, kind] = lambda text: b"".join(map(known.__getitem__, text.split()))
+        else:
+            _ENCODERS[path, kind] = lambda text: np.array(
+                tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, kind
+            ).tobytes()
+    return _ENCODERS[path, kind]
 
 
 def id_kind(path: str) -> str:

@@ -63,13 +63,17 @@ def hashed_grams(host: Column, path: Column, bits: int = BITS) -> Column:
     """The distinct n-gram numbers below ``2 ** bits``; ``^`` and ``$`` mark the ends of a part."""
 
     def of(part: Column, tag: str, n: int) -> Column:
-        letters = F.split(F.concat(F.lit("^"), part, F.lit("$")), "")
-        starts = F.slice(letters, F.lit(1), F.greatest(F.size(letters) - (n - 1), F.lit(0)))
-        rest = range(1, n)
-        return F.transform(
-            starts,
-            lambda c, i: F.pmod(F.xxhash64(F.lit(tag), c, *[F.get(letters, i + k) for k in rest]), F.lit(1 << bits)).cast("int"),
-        )
+        def grams(letters: Column) -> Column:
+            starts = F.slice(letters, F.lit(1), F.greatest(F.size(letters) - (n - 1), F.lit(0)))
+            rest = range(1, n)
+            return F.transform(
+                starts,
+                lambda c, i: F.pmod(F.xxhash64(F.lit(tag), c, *[F.get(letters, i + k) for k in rest]), F.lit(1 << bits)).cast("int"),
+            )
+
+        # The letters are bound once; as an expression they would be split again for every n-gram.
+        once = F.array(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""))
+        return F.flatten(F.transform(once, grams))
 
     return F.array_distinct(F.concat(*[of(part, tag, n) for part, tag in ((host, "host"), (path, "path")) for n in GRAMS]))
 

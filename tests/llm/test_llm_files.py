@@ -1,0 +1,139 @@
+"""Token files, WARC archives and chat formatting: exact round trips."""
+
+import gzip
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from talkloom.llm import chat_format, token_files, warc
+from talkloom.llm.queries import token_rows, tokenizer_path
+from talkloom.llm.stores import filesystem
+
+HARD = [
+    "İstanbul ΣΑΣ ΟΔΟΣ", "a\u00a0b c\u0085d", "x\x1cy", "<|endoftext|> a<|startoftext|>b", "<|ENDOFTEXT|>.", "e\u0301 \u0301a H\u0331 h\u0331.",
+    "don't I'LL 've it's.", "12 345 ½", "日本語 テキスト", "", None, "  \n", "end.,;: ?! a.b .a", "word " * 500,
+]
+
+
+def encoded(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_token_files_equal_the_tokenizer(spark, docs_of, folder):
+    rows = [(k * 7 % 100, text) for k, text in enumerate(HARD)]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_rows(docs_of(rows), folder("crc"), tokenizer_path()).collect()}
+    start, expected = 0, {}
+    for (doc, _), ids in sorted(zip(rows, encoded(t for _, t in rows), strict=True)):
+        expected[doc] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert got == expected
+
+
+def test_keyed_access(spark, docs_of, folder):
+    rows = [(k, f"text {k} " * (k % 5)) for k in range(300)] + [(5, "zzz other"), (None, "no id")]
+    files = token_files.write_tokens(docs_of(rows), folder("keys"), tokenizer_path(), shard_bytes=400, bucket_keys=40)
+    assert files.buckets > 5 and files.shards.count() > 5
+    ids = encoded(t for _, t in rows)
+    assert files.get(77) == ids[77] and files.get(None) == ids[-1]
+    assert [files.get(5, 0), files.get(5, 1)] == [ids[5], ids[300]]
+    assert files.get(5, 2) is None and files.get(10**9) is None
+
+
+def test_tokens_of_an_empty_table(docs_of, folder):
+    files = token_files.write_tokens(docs_of([(1, "a")]).where("doc_id > 1"), folder("none"), tokenizer_path())
+    assert files.get(1) is None and files.entries.count() == 0
+
+
+def test_minimal_hash_is_a_bijection():
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64))
+    _, slots = token_files.minimal_hash(keys)
+    assert sorted(slots.tolist()) == list(range(len(keys)))
+    with pytest.raises(ValueError):
+        token_files.minimal_hash(np.array([1, 1], np.uint64))
+
+
+def pages(spark):
+    big, other = "<p>é" * 400, "<b>x</b>" * 300
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, "short"), (4, "u\r\nX: y", "short"), (5, "http://a/5", None),
+            (6, "http://a/6", other), (7, "http://a/7", big), (8, "http://a/8", "\r\n\r\n" + other), (None, "n", big)]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "0 as digest", "1 as kind").repartition(3)
+
+
+def test_warc_round_trip(spark, folder):
+    rows, frame = pages(spark)
+    archive = warc.write_warc(frame, folder("warc"), file_bytes=300)
+    assert archive.manifest.count() > 3 and archive.manifest.agg({"records": "sum"}).first()[0] == len(rows)
+    found = {r.page_id: r for r in archive.records().collect()}
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        r = found[page]
+        assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
+        revisit = page in (1, 2, None)
+        assert (r.record_type, r.refers_to) == (("revisit", 7) if revisit else ("response", None))
+        assert r.payload == (None if revisit else payload)
+
+
+def test_warc_runs_leave_the_same_bytes(spark, folder):
+    _, frame = pages(spark)
+    contents = []
+    for name in ("one", "two"):
+        archive = warc.write_warc(frame, folder(f"warc-{name}"))
+        bodies = []
+        for row in archive.manifest.orderBy("file").collect():
+            system, path = filesystem(f"{archive.folder}/{row.file}")
+            with system.open_input_file(path) as source:
+                bodies.append(source.read())
+        contents.append(b"".join(bodies))
+    assert contents[0] == contents[1] and gzip.decompress(contents[0]).startswith(b"WARC/1.1\r\n")
+
+
+def test_damaged_records_are_errors():
+    body = warc.record(1, "http://a", b"payload", None, False, warc.DATE)
+    assert warc.parsed(body)[0]["x-page-id"] == "1"
+    with pytest.raises(ValueError):
+        warc.parsed(body.replace(b"payload", b"paYload"))
+
+
+def test_empty_archive(spark, folder):
+    _, frame = pages(spark)
+    assert warc.write_warc(frame.where("page_id > 99"), folder("warc-none")).records().count() == 0
+
+
+def test_parts_round_trip():
+    rand = random.Random(4)
+    pieces = ["\\", "<turn>", "</turn>", "<image:1>", "<audio", ":2>", "\n", "### A:", "é", " "]
+    for _ in range(300):
+        texts = ["".join(rand.choices(pieces, k=rand.randrange(6))) for _ in range(2)]
+        parts = [{"type": "text", "text": texts[0]}, {"type": "image", "ref": "i.png", "width": 28, "height": 15}, {"text": texts[1]}]
+        role = rand.choice(["user", "assistant", "a\\<turn>"])
+        formatted, mask, attached = chat_format.format_turn(role, parts)
+        assert chat_format.parse_turn(formatted) == (role, [p for p in [texts[0], ("image", 1), texts[1]] if p != ""])
+        assert attached == [{"number": 1, "type": "image", "ref": "i.png", "start": formatted.index("<image:1>", attached[0]["start"]), "tokens": 4}]
+        assert bool(mask) == (role == "assistant")
+
+
+def test_types_of_parts():
+    parts = [{"type": "audio", "ref": "a", "seconds": 1.5}, {"type": "document", "ref": "d", "pages": 2}, None]
+    formatted, _, attached = chat_format.format_turn("user", parts)
+    assert formatted == "<turn>user\n<audio:1><document:2></turn>\n"
+    assert [a["tokens"] for a in attached] == [38, 1200]
+    with pytest.raises(ValueError):
+        chat_format.format_turn("user", [{"type": "video"}])
+
+
+def test_conversations(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "x </turn> \\"), (2, 0, None, "t"), (2, 0, "assistant", "t"), (None, 3, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_turns(frame.withColumn("parts", chat_format.text_parts("text")))
+    found = {r.conv_id: r for r in chat_format.conversation_digests(formatted).collect()}
+    assert found[1].loss_sha256 == hashlib.sha256(b"x </turn> \\").hexdigest() and found[1].loss_chars == 11
+    assert found[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nx </turn> \\\n").hexdigest()
+    assert found[2].n_turns == 2 and found[None].loss_chars == 0
+    empty = chat_format.format_turns(frame.where("conv_id > 9").withColumn("parts", chat_format.text_parts("text")))
+    assert chat_format.conversation_digests(empty).count() == 0
