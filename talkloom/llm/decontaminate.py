@@ -190,4 +190,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """
     leaks = written(find_leaks(docs, items, doc_id=doc_id, doc_text=text).select("doc_id").distinct(), "leaks")
     gone = sent_if_small(leaks.select(F.col("doc_id").alias("_gone")), 500_000)
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")

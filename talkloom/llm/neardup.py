@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.components import components
-from talkloom.llm.stores import sent_if_small
+from talkloom.llm.stores import free_name, sent_if_small
 from talkloom.llm.text import MinHash, WordHashes, lower_words, shingle_hashes, text_bytes
 from talkloom.sources.scratch import written
 
@@ -393,13 +393,15 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """
     groups = written(near_duplicate_groups(docs, doc_id, text), "neardup-groups")
     gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(sent_if_small(gone, MOST_SENT), docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    gone = sent_if_small(gone, MOST_SENT)
+    rest = docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
     # Rows that repeat an id: one row of each text stays. The usual case, none, costs no shuffle of texts.
     twice = groups.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     twice = written(twice.select(F.col("doc_id").alias("_twice")), "neardup-twice")
     if twice.isEmpty():
         return rest
-    repeated = rest.join(twice, rest[doc_id].cast("long") == F.col("_twice"), "left_semi")
+    repeated = rest.join(twice, rest[doc_id].cast("long") == twice["_twice"], "left_semi")
     order = Window.partitionBy(doc_id, F.md5(F.col(text).cast("string").cast("binary"))).orderBy(F.lit(0))
-    once = repeated.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
-    return rest.join(twice, rest[doc_id].cast("long") == F.col("_twice"), "left_anti").unionByName(once)
+    place = free_name(docs.columns, "_place")
+    once = repeated.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return rest.join(twice, rest[doc_id].cast("long") == twice["_twice"], "left_anti").unionByName(once)

@@ -292,5 +292,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     Rows that share an id go together if one of them is toxic; rows without id stay.
     """
     verdicts = score_toxicity(docs, labels, doc_id, text).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(verdicts, "toxic")
-    return docs.join(sent_if_small(gone, 500_000), docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    gone = sent_if_small(written(verdicts, "toxic"), 500_000)
+    return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")

@@ -116,7 +116,7 @@ def test_mix_reaches_targets(spark):
     target |= {s: level * weights[s] for s in open_}
     for s in sizes:
         own = [r for r in one if source[r[0]] == s]
-        assert {r[3] for r in own} == {pytest.approx(target[s])}
+        assert [r[3] for r in own] == pytest.approx([target[s]] * len(own))
         assert abs(sum(r[4] for r in own) - target[s]) <= 60 and all(r[4] <= 3 * r[1] for r in own)
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r[5] for r in one)
