@@ -277,9 +277,13 @@ def build_corpus(units: DataFrame, lines: DataFrame, keep_tail: bool = False) ->
     """One corpus ``(file, kind, chunk_pos, text)`` of packed paragraphs, pages and lines.
 
     ``units`` are parsed files: kind ``docx`` rows are paragraphs, ``pdf`` rows are pages.
-    They are stored first, so that no file is parsed twice.
+    They are stored first, so that no file is parsed twice. Other kinds have no rule and
+    are an error.
     """
     units = written(units, "units")
+    other = units.filter(~F.coalesce(F.col("kind").isin("docx", "pdf"), F.lit(False))).select("kind").first()
+    if other is not None:
+        raise ValueError(f"no rule for files of kind {other.kind!r}")
     packed_rows = pack_paragraph_rows(
         units.filter(F.col("kind") == "docx"), "file", keep_tail=keep_tail
     )

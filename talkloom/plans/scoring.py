@@ -38,9 +38,9 @@ def score_pairs(
     """``(query_id, pos, score)`` of ``queries(query_id, embedding)`` and ``passages(pos, embedding)``.
 
     ``cosine`` keeps scores of at least ``cut``, ``l2`` (squared distance) keeps scores
-    below it. With ``top_k`` each task gives its own best; rank them to finish. Where holding
-    ``top_k`` rows per query would take more than ``block_bytes`` and there is a cut, tasks
-    give everything inside the cut instead. Ties go to the lower ``pos``. Zero and null
+    below it. With ``top_k`` each task gives its own best; rank them to finish. Blocks of queries
+    are sized with the rows held for them, so a larger ``top_k`` means more blocks. Ties go to
+    the lower ``pos``. Zero and null
     vectors have no cosine and match nothing.
     """
     if metric not in ("cosine", "l2"):
@@ -54,10 +54,7 @@ def score_pairs(
     q = written(q, "queries")
     count, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
     row_bytes = 8 * (width or 1)
-    block_rows = max(1, block_bytes // row_bytes)
-    if top_k is not None and cut is not None:
-        if min(count, block_rows) * top_k * _HELD_BYTES > block_bytes:
-            top_k = None
+    block_rows = max(1, block_bytes // (row_bytes + _HELD_BYTES * (top_k or 0)))
     if count <= block_rows:
         # Bounded by the check just made.
         ids, vectors = _matrix(q.toArrow(), metric)
@@ -65,7 +62,7 @@ def score_pairs(
         return p.mapInArrow(_against(shared, metric, cut, top_k), SCORED)
 
     q_blocks = -(-count // block_rows)
-    p_blocks = max(1, -(-p.count() // block_rows))
+    p_blocks = max(1, -(-p.count() // max(1, block_bytes // row_bytes)))
     left = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn(
         "pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1)))
     )
