@@ -38,18 +38,25 @@ ROOM = 2
 _CHUNKS_KEPT, _PARTS_KEPT = 300_000, 800_000
 
 
-class PartIds(dict):
-    """Encoded ids of parts of texts, kept; it starts afresh when it is full."""
+#: The characters that byte-level vocabularies write for the bytes 0 to 255: printable ones stand for themselves.
+_PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = (chr(256 + k) for k in range(256))
+_BYTE_CHARS = str.maketrans({b: chr(b) if b in _PLAIN_BYTES else next(_OTHERS) for b in range(256)})
+#: Stops, which split off a word before them. Signs of special tokens and the apostrophe of contractions are not among them.
+_STOPS = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 
-    def __init__(self, tokenizer, kind: str):
+
+class KnownIds(dict):
+    """Ids as bytes by piece of text, kept; it starts afresh when it is full."""
+
+    def __init__(self, encode: Callable[[str], list[int]], kind: str):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.encode, self.kind = encode, kind
 
-    def __missing__(self, part: bytes) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= _PARTS_KEPT:
             self.clear()
-        ids = self.tokenizer.encode(part.decode(errors="replace"), add_special_tokens=False).ids
-        value = self[part] = np.array(ids, self.kind).tobytes()
+        value = self[piece] = np.array(self.encode(piece), self.kind).tobytes()
         return value
 
 
@@ -58,43 +65,57 @@ class ChunkIds(dict):
 
     A tokenizer whose normaliser and splitter never look past ASCII white space gives
     the same ids for a text as for its runs one by one; ``separable`` says whether a
-    tokenizer file is of that kind. A run that ends in stops after an ASCII letter is
-    two pre-tokens, and case is dropped anyway, so fewer different parts are encoded.
-    Runs with non-ASCII letters keep their case until the tokenizer has composed them;
-    so do runs with ``<``, which may be special tokens.
+    tokenizer file is of that kind. A run of Latin letters is one pre-token, alone or
+    before stops: lower-cased and in byte characters it goes straight to the
+    tokenizer's model. Latin letters up to U+024F have no parts to compose. All other
+    runs pass through the whole tokenizer.
     """
 
-    def __init__(self, parts: PartIds):
+    def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.parts = parts
+        model = tokenizer.model
+        self.words = KnownIds(
+            lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))], kind
+        )
+        self.others = KnownIds(lambda part: tokenizer.encode(part, add_special_tokens=False).ids, kind)
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= _CHUNKS_KEPT:
             self.clear()
-        part = chunk.lower() if chunk.isascii() and b"<" not in chunk else chunk
-        word = part.rstrip(b".,;:!?")
-        if b"<" not in part and len(word) < len(part) and word[-1:].isalpha():
-            value = self.parts[word] + self.parts[part[len(word) :]]
+        text = chunk.decode(errors="replace")
+        bare = text.rstrip(_STOPS)
+        word = bare.lower()
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            value = self.words[word]
+            if len(bare) < len(text):
+                value += self.others[text[len(bare) :]]
         else:
-            value = self.parts[part]
+            value = self.others[text]
         self[chunk] = value
         return value
 
 
 def separable(tokenizer_json: str) -> bool:
-    """Whether case and white space are dropped and no step can see across white space: the case of word BPE."""
+    """Whether white space and case are dropped, no step sees across white space and runs of letters are whole: the case of word BPE."""
     spec = json.loads(tokenizer_json)
 
     def steps(part: dict | None, name: str) -> list[dict]:
         return [] if part is None else part.get(name, [part])
 
-    splits = steps(spec["pre_tokenizer"], "pretokenizers")
+    splits, model = steps(spec["pre_tokenizer"], "pretokenizers"), spec["model"]
     plain = all(s["type"] in ("NFC", "Lowercase") or (s["type"], s.get("content")) == ("Replace", " ") for s in steps(spec["normalizer"], "normalizers"))
     plain = plain and any(s["type"] == "Lowercase" for s in steps(spec["normalizer"], "normalizers"))
-    first = splits[0] if splits else {}
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s" in first["pattern"].get("Regex", "")
-    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-    return bool(plain and drops and added and spec["post_processor"] is None and spec["model"]["type"] == "BPE")
+    if [s["type"] for s in splits] != ["Split", "ByteLevel"]:
+        return False
+    first, second = splits
+    pattern = first["pattern"].get("Regex", "")
+    drops = first["behavior"] == "Removed" and first["invert"] and "\\s" in pattern and "|[\\p{L}]+|" in pattern
+    drops = drops and not second["add_prefix_space"] and not second.get("use_regex", True)
+    added = all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].isalpha()) and "<" in t["content"] and not any(c.isspace() for c in t["content"])
+        for t in spec["added_tokens"]
+    )
+    return bool(plain and drops and added and spec["post_processor"] is None and model["type"] == "BPE" and not model["dropout"])
 
 
 #: Encoders of this Python worker, which serves many tasks: known words stay known.
@@ -110,7 +131,7 @@ def _encoder(path: str, kind: str) -> Callable[[bytes], bytes]:
         tokenizer.no_padding()
         tokenizer.no_truncation()
         if separable(tokenizer.to_str()):
-            known = ChunkIds(PartIds(tokenizer, kind))
+            known = ChunkIds(tokenizer, kind)
             _ENCODERS[path, kind] = lambda text: b"".join(map(known.__getitem__, text.split()))
         else:
             _ENCODERS[path, kind] = lambda text: np.array(
