@@ -19,7 +19,7 @@ _CHUNK = 4096
 class WordHashes(dict):
     """64-bit hashes of words, kept; it starts afresh when ``most`` words are held."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -35,7 +35,7 @@ BUCKET_KEYS = 50_000
 LEVELS = 48
 #: Room for keys in a level, as a multiple of the keys that reach it.
 ROOM = 2
-_CHUNKS_KEPT, _PARTS_KEPT = 300_000, 800_000
+_CHUNKS_KEPT, _PARTS_KEPT = 300_000, 500_000
 
 
 #: The characters that byte-level vocabularies write for the bytes 0 to 255: printable ones stand for themselves.

@@ -43,7 +43,7 @@ CALIBRATION = 5
 BINS = 2000
 #: Differences of log-likelihood per word are cut to this range for the calibration bins.
 REACH = 3.0
-_HELD = 1 << 19
+_HELD = 1 << 18
 _WORD = re.compile(rb"[a-z0-9'\x80-\xff]+")
 
 
@@ -55,7 +55,7 @@ class WordIds(dict):
         self.known = {int(h): k + 1 for k, h in enumerate(hashes)}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = self.known.get(_hash(word)) or self.known.get(_hash(_stem(word)), 0)
         return value
@@ -124,7 +124,7 @@ def _pair_counts(vocabulary: np.ndarray):
                 numbers = _numbered(text, ids)
                 keys.append(((numbers[:-1] << 20 | numbers[1:]) << 1) | label)
                 total += len(numbers)
-                if total > 4 << 20:
+                if total > 1 << 20:
                     yield flushed()
                     keys, total = [], 0
         yield flushed()
