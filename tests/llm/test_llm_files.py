@@ -141,20 +141,15 @@ def test_conversations(spark):
 
 def test_chunks_give_the_ids_of_the_whole_tokenizer():
     """Case, composed and foreign letters, stops, contractions, special tokens, odd white space."""
-    import random
-
-    import public_tokenizers
     from tokenizers import Tokenizer
 
-    from talkloom.llm import token_files
-
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = tokenizer_path()
     whole = Tokenizer.from_file(path)
     assert token_files.separable(whole.to_str())
     encode = token_files._encoder(path, "<u2")
-    random.seed(1)
+    chance = random.Random(1)
     letters = "aZéÉ.,'sStT<|>endoftxßİ\u0338\u0301=1²½\xa0\u2009\t —_日Ǆɏɐⅷ"
-    texts = ["".join(random.choices(letters, k=random.randint(0, 12))) for _ in range(3000)]
+    texts = ["".join(chance.choices(letters, k=chance.randint(0, 12))) for _ in range(3000)]
     texts += ["CAN'T don't 's. 'll'. x<|endoftext|>... a—. ª º ß [a] a' \x1c a\x85b", "ΑΣ. K ﬁ. 日本. ŒUVRE!!!", ""]
     for text in texts:
         ids = np.frombuffer(encode(text.encode()), "<u2").tolist()
