@@ -52,28 +52,54 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(query_id, embedding)``: each vector mixed with the two that follow it by id."""
+    """``(query_id, embedding)``: each vector mixed with the two that follow it by id, if any."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     second = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
     third = e.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("c"))
-    joined = e.join(second, "vec_id").join(third, "vec_id")
-    two = F.zip_with(
-        F.col("embedding").cast("array<double>"),
-        F.col("b").cast("array<double>"),
-        lambda x, y: x + y * 0.9,
-    )
-    three = F.zip_with(two, F.col("c").cast("array<double>"), lambda x, y: x + y * 0.8)
+    joined = e.join(second, "vec_id", "left").join(third, "vec_id", "left")
+    two = _mixed(F.col("embedding"), F.col("b"), F.lit(0.9))
+    three = _mixed(two, F.col("c"), F.lit(0.8))
     return joined.select(F.col("vec_id").alias("query_id"), three.alias("embedding"))
 
 
+def _mixed(vector: Column, other: Column, weight: Column) -> Column:
+    """``vector + weight * other`` in double precision; a missing ``other`` adds nothing."""
+    base = vector.cast("array<double>")
+    added = F.coalesce(other.cast("array<double>"), F.transform(base, lambda x: F.lit(0.0)))
+    return F.zip_with(base, added, lambda x, y: x + weight * y)
+
+
 def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(pos, text, embedding)``: documents with the vector of their id."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return passage_vectors(spark, sf_dir).join(docs, "pos").select("pos", "text", "embedding")
+    """``(pos, text, embedding)``: every document with a vector.
+
+    Documents share the stored vectors round by round. From the second round on, a
+    document's vector is mixed with another one, so that no two are alike.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    place, turn = vector_place(spark, sf_dir, "doc_id")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("pos"), "text", place.alias("place"), turn.alias("turn")
+    )
+    count = vectors.count()
+    own = vectors.select(F.col("vec_id").alias("place"), F.col("embedding").alias("own"))
+    other = vectors.select(F.col("vec_id").alias("second"), F.col("embedding").alias("other"))
+    placed = docs.withColumn("second", (F.col("place") + F.col("turn")) % count)
+    embedding = _mixed(F.col("own"), F.col("other"), F.col("turn") * 0.25).cast("array<float>")
+    return (
+        placed.join(own, "place", "left")
+        .join(other, "second", "left")
+        .select("pos", "text", embedding.alias("embedding"))
+    )
+
+
+def vector_place(spark: SparkSession, sf_dir: str, key: str) -> tuple[Column, Column]:
+    """The id of the vector a row takes, and its round."""
+    count = table(spark, sf_dir, "embeddings").count()
+    return F.col(key) % count, F.floor(F.col(key) / count)
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

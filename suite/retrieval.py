@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite import inputs as I
-from suite.sql import DISTANCES, DISTANCES_ONLY, QUESTIONS, SIMS
+from suite.sql import DISTANCES, DISTANCES_ONLY, PASSAGES, QUESTIONS, SIMS
 from talkloom.functions import vectors as V
 from talkloom.operators import retrieve as R
 from talkloom.sources.scratch import scratch_path
@@ -89,6 +89,12 @@ def r8_l2_range(spark, sf_dir):
     )
 
 
+def r8_l2_range_rows(spark, sf_dir):
+    """The row form, all that lies in the radius."""
+    near = R.l2_range_matches(I.question_vectors(spark, sf_dir), I.passages(spark, sf_dir), radius=2.2)
+    return near.select("query_id", "pos", "rank")
+
+
 def r9_index_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "index")
     R.build_flat_index(I.passages(spark, sf_dir), path)
@@ -97,10 +103,13 @@ def r9_index_roundtrip(spark, sf_dir):
 
 
 def _document_queries(spark, sf_dir):
+    """Every document as a query, with the question vectors dealt out by id."""
+    place, _ = I.vector_place(spark, sf_dir, "doc_id")
     docs = I.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"), F.col("text").alias("query")
+        F.col("doc_id").alias("query_id"), F.col("text").alias("query"), place.alias("place")
     )
-    return docs.join(I.question_vectors(spark, sf_dir), "query_id")
+    questions = I.question_vectors(spark, sf_dir).withColumnRenamed("query_id", "place")
+    return docs.join(questions, "place", "left").drop("place")
 
 
 def r10_route_retrieval(spark, sf_dir):
@@ -130,15 +139,17 @@ QUERIES = {
         r5_best_match,
         r6_threshold_matches,
         r8_l2_range,
+        r8_l2_range_rows,
         r9_index_roundtrip,
         r10_route_retrieval,
         r11_fallback,
     ]
 }
 
-TEXT_SIMS = SIMS + """,
-texts AS (SELECT doc_id AS pos, text FROM documents),
-passage_sims AS (SELECT query_id, pos, sim, text FROM sims JOIN texts USING (pos))"""
+TEXT_SIMS = QUESTIONS + "," + PASSAGES + """,
+passage_sims AS (
+  SELECT query_id, pos, text, list_cosine_similarity(q, v::DOUBLE[]) AS sim FROM questions CROSS JOIN passages
+)"""
 
 _NEAR_PAIRS = f"""
 WITH {SIMS} SELECT query_id, pos, round(sim, 6) AS sim FROM sims WHERE sim >= 0.3"""
@@ -163,13 +174,14 @@ best AS (
 )"""
 
 
-def nearest(radius: float, k: int) -> str:
+def nearest(radius: float, k: int | None = None) -> str:
+    limit = f"WHERE n <= {k}" if k else ""
     return f"""
 nearest AS (
   SELECT query_id, string_agg(text, '' ORDER BY n) AS knowledge FROM (
     SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY d, pos) AS n
-    FROM distances JOIN (SELECT doc_id AS pos, text FROM documents) USING (pos) WHERE d < {radius}
-  ) WHERE n <= {k} GROUP BY query_id
+    FROM distances JOIN (SELECT pos, text FROM passages) USING (pos) WHERE d < {radius}
+  ) {limit} GROUP BY query_id
 )"""
 
 
@@ -210,16 +222,19 @@ FROM questions LEFT JOIN matches USING (query_id)""",
 WITH {DISTANCES}, {nearest(2.2, 5)}
 SELECT query_id, coalesce(knowledge, '') AS knowledge
 FROM questions LEFT JOIN nearest USING (query_id)""",
-    "r9_index_roundtrip": """
-SELECT vec_id AS pos, text,
-  round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm
-FROM embeddings JOIN documents ON doc_id = vec_id""",
+    "r8_l2_range_rows": f"""
+WITH {DISTANCES}
+SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY d, pos) AS rank
+FROM distances WHERE d < 2.2""",
+    "r9_index_roundtrip": f"""
+WITH {PASSAGES}
+SELECT pos, text, round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm
+FROM passages""",
     "r10_route_retrieval": f"""
-WITH {TEXT_SIMS}, {BEST}, {DISTANCES_ONLY}, {nearest(2.0, 100000)}
-SELECT query_id, CASE WHEN length(text) > 512 THEN 'l2' ELSE 'cosine' END AS route,
+WITH {TEXT_SIMS}, {BEST}, {DISTANCES_ONLY}, {nearest(2.0)}
+SELECT pos AS query_id, CASE WHEN length(text) > 512 THEN 'l2' ELSE 'cosine' END AS route,
   coalesce(CASE WHEN length(text) > 512 THEN nearest.knowledge ELSE best.knowledge END, '') AS knowledge
-FROM questions JOIN documents ON doc_id = query_id
-LEFT JOIN best USING (query_id) LEFT JOIN nearest USING (query_id)""",
+FROM placed_docs LEFT JOIN best ON best.query_id = place LEFT JOIN nearest ON nearest.query_id = place""",
     "r11_fallback": f"""
 WITH {TEXT_SIMS}, {numbered(0.7)}
 SELECT query_id, coalesce(knowledge, text, '') AS knowledge

@@ -57,10 +57,10 @@ QUESTIONS = """
 questions AS (
   SELECT a.vec_id AS query_id,
     list_transform(range(1, len(a.embedding) + 1), lambda i:
-      a.embedding[i]::DOUBLE + b.embedding[i]::DOUBLE * 0.9::DOUBLE
-      + c.embedding[i]::DOUBLE * 0.8::DOUBLE) AS q
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
-  JOIN embeddings c ON c.vec_id = a.vec_id + 2
+      a.embedding[i]::DOUBLE + coalesce(b.embedding[i]::DOUBLE, 0) * 0.9::DOUBLE
+      + coalesce(c.embedding[i]::DOUBLE, 0) * 0.8::DOUBLE) AS q
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1
+  LEFT JOIN embeddings c ON c.vec_id = a.vec_id + 2
 )"""
 
 SIMS = QUESTIONS + """,
@@ -70,14 +70,27 @@ sims AS (
   FROM questions CROSS JOIN embeddings
 )"""
 
+# Every document with a vector, as in inputs.passages.
+PASSAGES = """
+placed_docs AS (
+  SELECT doc_id AS pos, text, doc_id % n AS place, doc_id // n AS turn,
+    (doc_id % n + doc_id // n) % n AS second
+  FROM documents, (SELECT count(*) AS n FROM embeddings)
+),
+passages AS (
+  SELECT pos, text, list_transform(range(1, len(a.embedding) + 1), lambda i:
+    (a.embedding[i]::DOUBLE + turn * 0.25::DOUBLE * coalesce(b.embedding[i]::DOUBLE, 0))::FLOAT) AS v
+  FROM placed_docs LEFT JOIN embeddings a ON a.vec_id = place LEFT JOIN embeddings b ON b.vec_id = second
+)"""
+
 DISTANCES_ONLY = """
 distances AS (
-  SELECT query_id, vec_id AS pos,
+  SELECT query_id, pos,
     list_sum(list_transform(range(1, len(q) + 1),
-      lambda i: (q[i] - embedding[i]::DOUBLE) * (q[i] - embedding[i]::DOUBLE))) AS d
-  FROM questions CROSS JOIN embeddings
+      lambda i: (q[i] - v[i]::DOUBLE) * (q[i] - v[i]::DOUBLE))) AS d
+  FROM questions CROSS JOIN passages
 )"""
-DISTANCES = QUESTIONS + "," + DISTANCES_ONLY
+DISTANCES = QUESTIONS + "," + PASSAGES + "," + DISTANCES_ONLY
 
 LINES = """
 lines AS (

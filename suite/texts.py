@@ -124,7 +124,7 @@ def c1_pack_paragraph_rows(spark, sf_dir):
 
 def c2_page_passages(spark, sf_dir):
     pages = I.table(spark, sf_dir, "pages").select(
-        "url", "page_id", S.strip_markup(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("text")
+        "url", "page_id", S.strip_markup(F.col("html")).alias("text")
     )
     return C.page_passages(pages, "url", "page_id", "text")
 
@@ -241,8 +241,7 @@ SELECT doc_id, CASE WHEN length(text) > 512 THEN 'l2' ELSE 'cosine' END AS route
     "c1_pack_paragraphs": f"WITH RECURSIVE {_PACKED} SELECT doc_id, chunk_pos, text FROM emitted",
     "c1_pack_paragraph_rows": f"WITH RECURSIVE {_PACKED} SELECT doc_id, chunk_pos, text FROM emitted",
     "c2_page_passages": f"""
-SELECT url, page_id AS chunk_pos,
-  regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]+>|{WS}', '', 'g') AS text
+SELECT url, page_id AS chunk_pos, regexp_replace(html, '<[^>]+>|{WS}', '', 'g') AS text
 FROM pages""",
     "c3_line_passages": f"""
 WITH {LINES} SELECT doc_id, pos AS chunk_pos, text FROM ({_READ_LINES})

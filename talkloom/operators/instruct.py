@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +12,6 @@ from talkloom.functions.prompts import format_example
 from talkloom.plans.numbering import number_rows
 from talkloom.sources.records import split_rejects
 
-MAX_TOP = 100_000
-
 
 def prompt_records(records: DataFrame) -> DataFrame:
     """Replace ``instruction, input, output`` by ``context, target``; other columns stay.
@@ -30,11 +31,12 @@ def rejected_records(records: DataFrame) -> DataFrame:
 
 
 def first_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of the given unique order.
+    """The first ``n`` rows of the given unique order, as a set.
 
-    A small ``n`` is taken from the top of each partition; a large one by numbering all rows,
-    since a large limit would bring its rows into one task.
+    Only the order columns are sorted and numbered; the rows are then found by them, so no
+    task holds all ``n``. ``df`` is read more than once: store it first if it is costly to make.
     """
-    if n <= MAX_TOP:
-        return df.orderBy(*order).limit(n)
-    return number_rows(df, order, "_number").filter(F.col("_number") < n).drop("_number")
+    numbered = number_rows(df.select(*order), order, "_number")
+    keys = numbered.filter(F.col("_number") < n).drop("_number")
+    same = reduce(and_, [df[c].eqNullSafe(keys[c]) for c in order])
+    return df.join(keys, same, "left_semi")

@@ -19,6 +19,10 @@ from talkloom.plans.scoring import score_pairs
 from talkloom.sources.scratch import written
 
 
+# Rows of ids and scores that are sent to all tasks: some 100 MB.
+SENT_ROWS = 1_000_000
+
+
 def embed_passages(passages: DataFrame, encoder: Callable[[], Encoder]) -> DataFrame:
     """Add ``embedding``; store the result once instead of encoding per query."""
     return passages.withColumn("embedding", embedding(F.col("text"), encoder))
@@ -52,13 +56,18 @@ def rank_desc(scores: DataFrame, top_k: int | None = None) -> DataFrame:
     numbers all rows at once in (query, rank) order, so a query that matches much of
     the corpus is spread over tasks.
     """
+    return _ranked(scores, [F.desc("sim"), "pos"], top_k)
+
+
+def _ranked(scores: DataFrame, order: list[str | Column], top_k: int | None) -> DataFrame:
+    """Add ``rank`` from 1 per query in the given order."""
     if top_k is not None:
-        best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "pos")
+        best = Window.partitionBy("query_id").orderBy(*order)
         ranked = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
         return ranked.withColumn("rank", F.col("rank").cast("long"))
     # Stored first: the sampling of the range bounds would make the scores a second time.
     stored = written(scores, "scores")
-    numbered = number_rows(stored, ["query_id", F.desc("sim"), "pos"], "_number")
+    numbered = number_rows(stored, ["query_id", *order], "_number")
     starts = numbered.groupBy("query_id").agg(F.min("_number").alias("_first"))
     return (
         numbered.join(starts, "query_id")
@@ -73,7 +82,7 @@ def best_match(queries: DataFrame, passages: DataFrame, threshold: float = 0.6)
     best = scored.groupBy("query_id").agg(
         F.max_by("pos", F.struct("score", (-F.col("pos")).alias("early"))).alias("pos")
     )
-    found = best.join(passages.select("pos", F.col("text").alias("knowledge")), "pos")
+    found = _with_texts(best, passages).withColumnRenamed("text", "knowledge")
     return _per_query(queries, found)
 
 
@@ -85,7 +94,7 @@ def threshold_matches(queries: DataFrame, passages: DataFrame, threshold: float
     """
     scored = score_pairs(queries, passages, "cosine", cut=threshold)
     above = scored.filter(F.col("score") > threshold)
-    texts = above.join(passages.select("pos", "text"), "pos")
+    texts = _with_texts(above, passages)
     item = F.struct((-F.col("score")).alias("far"), "pos", "text")
     numbered = F.transform(
         F.sort_array(F.collect_list(item)),
@@ -105,19 +114,31 @@ def retrieve_by_cosine(queries: DataFrame, passages: DataFrame, mode: str, **opt
     return MODES[mode](queries, passages, **options)
 
 
+def l2_range_matches(
+    queries: DataFrame, passages: DataFrame, radius: float, k: int | None = None
+) -> DataFrame:
+    """``(query_id, pos, distance, rank)``: the passages nearer than ``radius``, from rank 1.
+
+    The distance is the squared L2 distance. All of them come out unless ``k`` is given.
+    """
+    scored = score_pairs(queries, passages, "l2", cut=radius, top_k=k)
+    return _ranked(scored.withColumnRenamed("score", "distance"), ["distance", "pos"], k)
+
+
 def l2_range_context(
-    queries: DataFrame, passages: DataFrame, radius: float = 1e7, k: int = 100_000
+    queries: DataFrame, passages: DataFrame, radius: float, k: int | None = None
 ) -> DataFrame:
-    """``(query_id, knowledge)``: texts nearer than ``radius``, at most ``k``, nearest first.
+    """``(query_id, knowledge)``: texts nearer than ``radius``, nearest first, without a separator.
 
-    The distance is the squared L2 distance and the texts are joined without a separator.
+    A query's texts meet in one row by definition; ``k`` keeps the nearest only, and
+    ``l2_range_matches`` gives them as rows.
     """
     scored = score_pairs(queries, passages, "l2", cut=radius, top_k=k)
-    nearest = Window.partitionBy("query_id").orderBy("score", "pos")
-    kept = scored.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= k)
-    texts = kept.join(passages.select("pos", "text"), "pos")
+    if k is not None:
+        scored = _ranked(scored, ["score", "pos"], k).drop("rank")
+    texts = _with_texts(scored, passages)
     ordered = F.transform(
-        F.sort_array(F.collect_list(F.struct("_rank", "text"))), lambda m: m["text"]
+        F.sort_array(F.collect_list(F.struct("score", "pos", "text"))), lambda m: m["text"]
     )
     found = texts.groupBy("query_id").agg(F.array_join(ordered, "").alias("knowledge"))
     return _per_query(queries, found)
@@ -129,8 +150,9 @@ def route_retrieval(
     short_passages: DataFrame,
     limit: int = 512,
     threshold: float = 0.6,
-    radius: float = 1e7,
-    k: int = 100_000,
+    *,
+    radius: float,
+    k: int | None = None,
 ) -> DataFrame:
     """``(query_id, route, knowledge)``: long queries by distance, the others by cosine."""
     # Both branches read the queries several times, but never their texts.
@@ -162,6 +184,14 @@ def knowledge_or_fallback(knowledge: DataFrame, fallback: DataFrame) -> DataFram
     )
 
 
+def _with_texts(found: DataFrame, passages: DataFrame) -> DataFrame:
+    """Join the passages' texts; other passages' texts are not shuffled where ``found`` is small."""
+    stored = written(found, "found")
+    if stored.count() <= SENT_ROWS:
+        stored = F.broadcast(stored)
+    return passages.select("pos", "text").join(stored, "pos")
+
+
 def _per_query(queries: DataFrame, found: DataFrame) -> DataFrame:
     """One row per query; nothing found is the empty string."""
     return (

@@ -15,8 +15,9 @@ from talkloom.sources.schemas import PARSED_UNIT
 from talkloom.sources.scratch import small_table
 
 
-# At some 200 bytes per split the counts of this many splits fit well into memory.
-MAX_BROADCAST_SPLITS = 200_000
+# At some 200 bytes per split the counts of this many splits take 400 MB; they cover 250 TB
+# in splits of 128 MB.
+MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def numbered_lines(

@@ -141,10 +141,12 @@ def test_range_context(spark):
     rows = [(0, "c", [3.0, 0.0]), (1, "b", [0.0, 2.0]), (2, "a", [1.0, 0.0]), (3, "b2", [2.0, 0.0])]
     passages = spark.createDataFrame(rows, "pos long, text string, embedding array<double>")
     text = lambda **o: R.l2_range_context(query, passages, **o).first().knowledge
-    assert text() == "abb2c"
+    assert text(radius=1e7) == "abb2c"
     assert text(radius=9.0) == "abb2"
     assert text(radius=9.5, k=2) == "ab"
     assert text(radius=1.0) == ""
+    near = R.l2_range_matches(query, passages, radius=9.0).collect()
+    assert sorted((r.rank, r.pos, r.distance) for r in near) == [(1, 2, 1.0), (2, 1, 4.0), (3, 3, 4.0)]
 
 
 def test_routes_and_fallback(spark):

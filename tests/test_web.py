@@ -100,3 +100,25 @@ def test_default_info_and_rules(spark):
     got = {r.id: r.info for r in W.info_or_default(users, infos, "id", DEFAULT_PERSONA_INFO).collect()}
     assert got == {1: "own", 2: DEFAULT_PERSONA_INFO}
     assert [r.choice for r in W.source_rules(spark).collect()] == ["知乎回答", "百度知道"]
+
+
+def test_blocks_whose_class_is_written_otherwise_are_found(spark):
+    def page(name):
+        return f'<div {name}><h2><a href="/x">X</a></h2></div>'
+
+    spelled = ['class="a  b"', 'class="a&#32;b"', "CLASS = 'a\n&#98;'", 'class="&#97; b"', 'class="ab"', 'id="a b"']
+    pages = spark.createDataFrame([(i, page(s)) for i, s in enumerate(spelled)], "id int, html string")
+    found = W.extract_results(pages, "id", block="a b")
+    assert sorted(r.id for r in found.collect()) == [0, 1, 2, 3]
+
+
+def test_a_page_stored_twice_is_one_source(spark):
+    url = "https://zhidao.baidu.com/question/1"
+    answer = '<div class="rich-content-container rich-text-">{}</div>'
+    stored = [(url, answer.format("short")), (url, answer.format("the longer")), (url, "<p></p>")]
+    pages = spark.createDataFrame(stored, "url string, html string")
+    links = spark.createDataFrame(
+        [(1, "百度知道", 0, "t 百度", url)], "query_id int, choice string, pos long, title string, url string"
+    )
+    sources = W.collect_sources(links, pages).collect()
+    assert [[tuple(s) for s in r.sources] for r in sources] == [[("thelonger", url)]]
