@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.tools import SYSTEM_CONTENT, tool_specs
-from talkloom.plans.segments import SEGMENT, has_long_groups, next_row, segment_of
+from talkloom.plans.segments import SEGMENT, has_long_groups, next_row, null_safe_join, segment_of
 
 PAIR = "array<struct<prompt:string,resp:string>>"
 
@@ -53,7 +53,7 @@ def history_before(
 
     late = pairs.filter(F.col("turn") >= segment).select("conv_id").distinct()
     blocks = (
-        pairs.join(late, "conv_id", "left_semi")
+        null_safe_join(pairs, late, ["conv_id"], "left_semi")
         .groupBy("conv_id", segment_of("turn", segment).alias("_seg"))
         .agg(F.sort_array(F.collect_list(F.struct("turn", "prompt", "resp"))).alias("block"))
         .withColumn("block", F.transform("block", lambda p: F.struct(p["prompt"], p["resp"])))
@@ -64,7 +64,7 @@ def history_before(
     carried = blocks.select(
         "conv_id", "_seg", F.flatten(F.collect_list("block").over(along)).cast(PAIR).alias("_front")
     )
-    joined = local.join(carried, ["conv_id", "_seg"], "left")
+    joined = null_safe_join(local, carried, ["conv_id", "_seg"], "left")
     history = F.concat(F.coalesce("_front", F.array().cast(PAIR)), F.col("history").cast(PAIR))
     joined = joined.withColumn("history", history)
     if max_pairs is not None:
@@ -103,7 +103,7 @@ def seed_system(histories: DataFrame, turns: DataFrame) -> DataFrame:
         )
     )
     return (
-        histories.join(system, "conv_id", "left")
+        null_safe_join(histories, system, ["conv_id"], "left")
         .withColumn("messages", F.concat(F.array(first), said))
         .drop("system")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.rows import exploded
 from talkloom.functions.strings import split_lines
-from talkloom.plans.segments import has_long_groups, segment_of
+from talkloom.plans.segments import has_long_groups, null_safe_join, segment_of
 from talkloom.sources.scratch import written
 
 
@@ -104,7 +104,7 @@ def pack_paragraph_rows(
             docs, key, F.col("paragraphs._text"), keep_tail, min_len=min_len, flush=flush
         )
     starts = _segment_starts(rows, kept, key, pos, flush, segment, run)
-    opened = kept.groupBy("_key", "_seg").agg(gathered).join(starts, ["_key", "_seg"], "left")
+    opened = null_safe_join(kept.groupBy("_key", "_seg").agg(gathered), starts, ["_key", "_seg"], "left")
     opened = opened.withColumns(
         {
             "_size": F.coalesce("_size", F.lit(0)),
@@ -151,9 +151,9 @@ def _segment_starts(rows, kept, key, pos, flush, segment, run) -> DataFrame:
     """``(_key, _seg, _size, _given)``: what is open where each segment of a long document starts."""
     # Reads no text: a document is long by its positions.
     large = rows.filter(F.col(pos) >= segment).select(F.col(key).alias("_key")).distinct()
+    sizes = kept.select("_key", "_seg", "_pos", F.length("_text").alias("n"))
     lengths = (
-        kept.select("_key", "_seg", "_pos", F.length("_text").alias("n"))
-        .join(large, "_key", "left_semi")
+        null_safe_join(sizes, large, ["_key"], "left_semi")
         .groupBy("_key", "_seg")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "n"))).alias("ns"))
     )
@@ -169,7 +169,7 @@ def _segment_starts(rows, kept, key, pos, flush, segment, run) -> DataFrame:
         _chain("_run"), f"_key {key_type}, _run long, _size int, _given long"
     )
     return (
-        grouped.join(run_starts, ["_key", "_run"])
+        null_safe_join(grouped, run_starts, ["_key", "_run"], "inner")
         .groupBy("_key", "_run")
         .applyInPandas(_chain("_seg"), f"_key {key_type}, _seg long, _size int, _given long")
     )

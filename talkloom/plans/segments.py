@@ -63,7 +63,7 @@ def _neighbour(df, key, order, columns, out, segment, ahead):
         # Last rows are needed of every segment, but only in groups that have a later one.
         large = late.select(*key).distinct()
         edge = (
-            _null_safe(df, large, list(key), "left_semi")
+            null_safe_join(df, large, list(key), "left_semi")
             .withColumn("_seg", segment_of(order, segment))
             .groupBy(*parts)
             .agg(F.max_by(value, order).alias("_edge"))
@@ -72,13 +72,13 @@ def _neighbour(df, key, order, columns, out, segment, ahead):
             *key, F.lead("_seg").over(along).alias("_seg"), "_edge"
         ).filter(F.col("_seg").isNotNull())
     return (
-        _null_safe(rows, carried, list(parts), "left")
+        null_safe_join(rows, carried, list(parts), "left")
         .withColumn(out, F.coalesce(F.col(out), F.col("_edge")))
         .drop("_seg", "_edge")
     )
 
 
-def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """A join on equal names in which null equals null; the names come from ``left``."""
     renamed = right.select(*[F.col(c).alias(f"_on_{c}" if c in on else c) for c in right.columns])
     same = F.lit(True)

@@ -82,3 +82,11 @@ def test_lines_of_texts(spark):
         if parts:
             expected[i] = parts
     assert got == expected
+
+
+def test_null_keys_are_packed_alike_in_segments(spark):
+    rows = [(key, k, "x" * 90) for key in (None, 1) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, text string")
+    tiny, whole = (pack_paragraph_rows(df, "doc_id", keep_tail=True, segment=n, run=2).collect() for n in (2, 1024))
+    assert sorted(map(str, tiny)) == sorted(map(str, whole))
+    assert [len(r.text) for r in tiny if r.doc_id is None] == [180] * 6

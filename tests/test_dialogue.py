@@ -138,6 +138,22 @@ def replay_deltas(rows):
 SNAPSHOT = "conv_id long, turn long, prompt string, seq long, resp string"
 
 
+@pytest.mark.parametrize("max_pairs", [None, 2])
+def test_null_conversations_keep_their_history_across_segments(spark, max_pairs):
+    rows = [(c, 2 * k, f"p{k}", f"r{k}") for c in (None, 1) for k in range(6)]
+    pairs = spark.createDataFrame(rows, "conv_id long, turn long, prompt string, resp string")
+    tiny, whole = (H.history_before(pairs, max_pairs=max_pairs, segment=n).collect() for n in (3, 4096))
+    assert sorted(map(str, tiny)) == sorted(map(str, whole))
+    assert {(r.conv_id, len(r.history)) for r in tiny} == {(c, min(k, max_pairs or k)) for c in (None, 1) for k in range(6)}
+
+
+def test_null_conversations_take_their_system_turn(spark):
+    turns = spark.createDataFrame([(None, 0, "system", "own"), (1, 0, "system", "other")], "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(None, 1, "p", "r"), (1, 1, "p", "r")], "conv_id long, turn long, prompt string, resp string")
+    seeded = H.seed_system(H.history_before(pairs), turns).collect()
+    assert {(r.conv_id, r.messages[0].content) for r in seeded} == {(None, "own"), (1, "other")}
+
+
 @pytest.mark.parametrize("segment", [3, 4096])
 def test_deltas_in_batch(spark, segment):
     rows = snapshot_rows()
