@@ -1,16 +1,19 @@
 """Toxicity: one Kneser-Ney language model for toxic texts, one for ordinary texts.
 
-Both are interpolated bigram models over one vocabulary; a rarer word is read as its
-first letters, if these are frequent, or else as one class of unknown words. A bigram's count,
+Both are interpolated bigram models over all words of the texts learnt from. A bigram's count,
 less a discount, backs off to the bigram model of both classes together, which backs
 off to shared continuation counts; there each word is weighted by its class's share of
-continuations. So a rare expression is no evidence by itself. The two log-likelihoods are compared in windows of ``WINDOW`` words, each
-divided by the window's length: a long text does not dilute a toxic passage. The score
-is a calibrated function of the largest difference.
-
-Counts cover all labelled rows that may be learnt from. Bigrams are folded into
-``2 ** FOLD_BITS`` cells before they are sent to the tasks, a fixed bound (24 MB); a cell
-that two bigrams share holds their sum.
+continuations. A word not learnt takes the share of the learnt words that begin alike. So a
+rare expression is no evidence by itself. The two log-likelihoods are compared in windows of
+``WINDOW`` words, each divided by the window's length: a long text does not dilute a toxic
+passage. The score is a calibrated function of the largest difference.
+
+Counts cover all labelled rows that may be learnt from, every word and bigram by its 63-bit
+hash, in written tables that grow with the input. A bigram's difference is the sum of a value
+of its first and one of its second word, unless a class has it more than ``CLASS_DISCOUNT``
+times; so the table to look up has a row for each word, each stem and each bigram above the
+discount. Its most frequent rows, ``MOST_SENT`` at most, are sent to the tasks; if there are
+others, each document's distinct keys outside of these are joined to them.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.labels import one_label, remainder
@@ -31,11 +34,11 @@ from talkloom.sources.scratch import written
 
 DIVISOR, HELD_OUT = 3, 1
 CUT = 0.7
-VOCABULARY = 1 << 14
-FOLD_BITS = 21
 DISCOUNT = 0.75
 #: Taken from a class's own bigram counts: what is seen no more often is left to the shared level.
 CLASS_DISCOUNT = 2.0
+#: Continuations by which a word's share of its class is drawn to that of all words: few are no evidence.
+PRIOR = 1.0
 WINDOW = 4
 STEM = 5
 #: Of the rows to learn from, one part in so many calibrates.
@@ -43,23 +46,61 @@ CALIBRATION = 5
 BINS = 2000
 #: Differences of log-likelihood per word are cut to this range for the calibration bins.
 REACH = 3.0
-_HELD = 1 << 18
+#: Rows of the table that are sent to the tasks: 72 MB and an index of up to 32 MB. The others are joined.
+MOST_SENT = 3_000_000
+_HELD_WORDS = 200_000
+_HELD_PAIRS = 1 << 19
 _WORD = re.compile(rb"[a-z0-9'\x80-\xff]+")
+START = b""
+
+
+class Rows:
+    """Rows (key, a, b) of the table in order of the key, found by array look-up."""
+
+    def __init__(self, keys: np.ndarray, first: np.ndarray, second: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        # The row after the last is what a missing key has.
+        self.keys, self.first, self.second = keys[order], np.append(first[order], 0.0), np.append(second[order], 0.0)
+        self.mask = (1 << max(10, (8 * len(keys)).bit_length())) - 1
+        self.flags = np.zeros(self.mask + 1, bool)
+        self.flags[keys & self.mask] = True
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for a missing one."""
+        out = np.full(len(wanted), -1)
+        likely = np.flatnonzero(self.flags[wanted & self.mask])
+        at = np.minimum(np.searchsorted(self.keys, wanted[likely]), len(self.keys) - 1)
+        same = self.keys[at] == wanted[likely]
+        out[likely[same]] = at[same]
+        return out
 
 
-class WordIds(dict):
-    """Vocabulary numbers from 1 by word, 0 for all others; kept for words seen, up to a bound."""
+class WordHashes(dict):
+    """Numbers by word, for the arrays of hashes ``word`` and ``stem``; kept for words seen, up to a bound."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self):
         super().__init__()
-        self.known = {int(h): k + 1 for k, h in enumerate(hashes)}
+        self.word = self.stem = np.empty(0, np.int64)
+        self.fresh: list[tuple[int, int]] = []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = self.known.get(_hash(word)) or self.known.get(_hash(_stem(word)), 0)
+        value = self[word] = len(self)
+        self.fresh.append((_hash(word), _hash(_stem(word))))
         return value
 
+    def numbered(self, text: bytes) -> np.ndarray:
+        """The numbers of the words after a start mark; good until the next call."""
+        if len(self) > _HELD_WORDS:
+            self.clear()
+            self.word = self.stem = np.empty(0, np.int64)
+        words = [START, *tokens(text)]
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            fresh = np.array(self.fresh, np.int64)
+            self.word, self.stem = np.append(self.word, fresh[:, 0]), np.append(self.stem, fresh[:, 1])
+            self.fresh = []
+        return out
+
 
 def _stem(word: bytes) -> bytes:
     """The class of words that begin alike."""
@@ -70,148 +111,197 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    both = mix(first.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    return (mix(both) >> np.uint64(1)).astype(np.int64)
+
+
 def tokens(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, ordinary) for words and stems, summed up to a bound of held words."""
-    held: dict[bytes, list[int]] = {}
+PAIRS = "pair long, first long, second long, stem long, toxic long, ordinary long"
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams with the second word's stem, summed up to a bound of held words."""
+    hashes = WordHashes()
+    held: list[tuple] = []
+    total = 0
 
     def flushed() -> pa.RecordBatch:
-        for word, counts in [*held.items()]:
-            stem = held.setdefault(_stem(word), [0, 0])
-            stem[0], stem[1] = stem[0] + counts[0], stem[1] + counts[1]
-        kinds = pa.array([_hash(w) for w in held], pa.int64()), pa.array([c[1] for c in held.values()], pa.int64()), pa.array([c[0] for c in held.values()], pa.int64())
-        return pa.record_batch(list(kinds), ["word", "toxic", "ordinary"])
+        first, second, stem, toxic = (np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*held, strict=True) if held else [()] * 4))
+        pairs, at, place, counts = np.unique(_pair_keys(first, second), return_index=True, return_inverse=True, return_counts=True)
+        bad = np.bincount(place, toxic, len(pairs)).astype(np.int64)
+        columns = [pairs, first[at], second[at], stem[at], bad, counts - bad]
+        return pa.record_batch([pa.array(c) for c in columns], ["pair", "first", "second", "stem", "toxic", "ordinary"])
 
     for batch in batches:
         for text, label in zip(text_bytes(batch.column("text")), batch.column("label").to_pylist(), strict=True):
-            for word in tokens(text):
-                counts = held.get(word)
-                if counts is None:
-                    counts = held[word] = [0, 0]
-                counts[label] += 1
-            if len(held) > _HELD:
+            numbers = hashes.numbered(text)
+            words, stems = hashes.word[numbers], hashes.stem[numbers]
+            held.append((words[:-1], words[1:], stems[1:], np.full(len(words) - 1, label)))
+            total += len(words)
+            if total > _HELD_PAIRS:
                 yield flushed()
-                held = {}
+                held, total = [], 0
     yield flushed()
 
 
-def _numbered(text: bytes, ids: WordIds) -> np.ndarray:
-    """The numbers of the words, from a start mark (the number after the last word)."""
-    words = tokens(text)
-    out = np.empty(len(words) + 1, np.int64)
-    out[0] = VOCABULARY + 1
-    out[1:] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    return out
-
+def _table(learnt: DataFrame) -> DataFrame:
+    """(key, n, a, b): what each word, stem and frequent bigram tells.
 
-def _pair_counts(vocabulary: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(vocabulary)
-        keys, total = [], 0
+    The log-likelihood of a bigram by the toxic model less that by the ordinary one is
+    ``a`` of the first word + ``b`` of the second + ``a`` of the bigram, where absent keys
+    count 0. A word that was not learnt has ``b`` of its stem.
+    """
+    names = ("ordinary", "toxic")
+    pairs = written(
+        learnt.select("text", "label").mapInArrow(_pair_counts, PAIRS)
+        .groupBy("pair", "first", "second", "stem").agg(*[F.sum(c).alias(c) for c in names]),
+        "toxicity-pairs",
+    )
+    taken = [F.sum(F.least(F.col(c).cast("double"), F.lit(CLASS_DISCOUNT))).alias(f"{c}_taken") for c in names]
+    by_first = pairs.groupBy(F.col("first").alias("key")).agg(*[F.sum(c).alias(c) for c in names], *taken, F.count("*").alias("kinds"))
+    kinds = [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in names]
+    by_second = written(
+        pairs.groupBy(F.col("second").alias("key"), "stem").agg(*kinds, F.count("*").alias("pooled"), F.sum(F.col("toxic") + F.col("ordinary")).alias("n")),
+        "toxicity-seconds",
+    )
+    sums = by_second.agg(
+        F.count("*").alias("words"), F.coalesce(F.sum("pooled"), F.lit(0)).alias("pooled"),
+        *[F.coalesce(F.sum(f"{c}_kinds"), F.lit(0)).alias(c) for c in names],
+    ).first()
+    # Half a count for each word without continuations, and for all that were not learnt.
+    whole = sums["pooled"] + 0.5 * (sums["words"] + 1)
+    of_class = {c: max(sums[c], 1) / sum(max(sums[x], 1) for x in names) for c in names}
+    lowest = (F.coalesce("pooled", F.lit(0)) + 0.5) / F.lit(whole)
+    own = {c: F.coalesce(F.col(f"{c}_kinds"), F.lit(0)).cast("double") for c in names}
+    seen = own["toxic"] + own["ordinary"] + PRIOR
+    share = {c: (own[c] + PRIOR * of_class[c]) / (seen * of_class[c]) for c in names}
+    weight = F.log(share["toxic"]) - F.log(share["ordinary"])
+    total = {c: F.coalesce(F.col(c), F.lit(0)) for c in names}
+    left = {c: F.when(total[c] > 0, F.col(f"{c}_taken")).otherwise(F.lit(1.0)) for c in names}
+    held = {c: F.greatest(total[c], F.lit(1)) for c in names}
+    words = written(
+        by_second.join(by_first, "key", "full").select(
+            "key",
+            F.coalesce("n", total["toxic"] + total["ordinary"]).alias("n"),
+            (F.log(left["toxic"] / held["toxic"]) - F.log(left["ordinary"] / held["ordinary"])).alias("a"),
+            weight.alias("b"),
+            lowest.alias("lowest"),
+            "kinds",
+            *[share[c].alias(f"{c}_share") for c in names],
+            *[left[c].alias(f"{c}_left") for c in names],
+            *[total[c].alias(f"{c}_total") for c in names],
+        ),
+        "toxicity-words",
+    )
+    stems = by_second.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("ordinary_kinds", "toxic_kinds", "pooled", "n")])
+    firsts = words.select(F.col("key").alias("first"), F.col("a").alias("a1"), "kinds", *[f"{c}_{x}" for c in names for x in ("left", "total")])
+    seconds = words.select(F.col("key").alias("second"), F.col("b").alias("b2"), "lowest", *[f"{c}_share" for c in names])
+    often = pairs.where(F.greatest(*names) > CLASS_DISCOUNT).join(firsts, "first").join(seconds, "second")
+    both = F.col("toxic_total") + F.col("ordinary_total")
+    shared = F.least(
+        (F.col("toxic") + F.col("ordinary") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("lowest")) / both, F.lit(1.0)
+    )
 
-        def flushed() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
-            toxic = (pairs & 1) == 1
-            return pa.record_batch(
-                [pa.array(pairs >> 1), pa.array(np.where(toxic, counts, 0)), pa.array(np.where(toxic, 0, counts))], ["pair", "toxic", "ordinary"]
-            )
+    def likelihood(c: str) -> Column:
+        count = F.greatest(F.col(c) - CLASS_DISCOUNT, F.lit(0.0))
+        return F.log((count + F.col(f"{c}_left") * shared * F.col(f"{c}_share")) / F.greatest(f"{c}_total", F.lit(1)))
 
-        for batch in batches:
-            for text, label in zip(text_bytes(batch.column("text")), batch.column("label").to_pylist(), strict=True):
-                numbers = _numbered(text, ids)
-                keys.append(((numbers[:-1] << 20 | numbers[1:]) << 1) | label)
-                total += len(numbers)
-                if total > 1 << 20:
-                    yield flushed()
-                    keys, total = [], 0
-        yield flushed()
+    excess = likelihood("toxic") - likelihood("ordinary") - F.col("a1") - F.col("b2")
+    table = (
+        words.select("key", "n", "a", "b")
+        .unionAll(stems.select(F.col("stem").alias("key"), "n", F.lit(0.0).alias("a"), weight.alias("b")))
+        .unionAll(often.select(F.col("pair").alias("key"), (F.col("toxic") + F.col("ordinary")).alias("n"), excess.alias("a"), F.lit(0.0).alias("b")))
+    )
+    return written(table, "toxicity-table")
 
-    return count
 
+class ToxicityModel:
+    """The rows at hand in a task: those sent to it and, for one text, those joined to it."""
 
-def _cell(pairs: np.ndarray) -> np.ndarray:
-    return (mix(pairs.astype(np.uint64)) >> np.uint64(64 - FOLD_BITS)).astype(np.int64)
+    def __init__(self, sent: Rows):
+        self.sent, self.hashes = sent, WordHashes()
 
+    def _keys(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers = self.hashes.numbered(text)
+        words = self.hashes.word[numbers]
+        return words, self.hashes.stem[numbers], _pair_keys(words[:-1], words[1:])
 
-class ToxicityModel:
-    """The tables of both models, in arrays indexed by word number or bigram cell."""
-
-    def __init__(self, vocabulary: np.ndarray, cells: pa.Table, contexts: pa.Table, continuations: pa.Table):
-        self.vocabulary = vocabulary
-        size = VOCABULARY + 2
-        self.pairs = np.zeros((2, 1 << FOLD_BITS), np.float32)
-        self.totals, self.taken = np.zeros((2, size)), np.zeros((2, size))
-        own, pooled, self.kinds = np.zeros((2, size)), np.zeros(size), np.zeros(size)
-        for k, name in enumerate(("ordinary", "toxic")):
-            self.pairs[k, cells["cell"].to_numpy()] = cells[name].to_numpy()
-            self.totals[k, contexts["word"].to_numpy()] = contexts[name].to_numpy()
-            self.taken[k, contexts["word"].to_numpy()] = contexts[f"{name}_taken"].to_numpy()
-            own[k, continuations["word"].to_numpy()] = continuations[f"{name}_kinds"].to_numpy()
-        self.kinds[contexts["word"].to_numpy()] = contexts["kinds"].to_numpy()
-        pooled[continuations["word"].to_numpy()] = continuations["kinds"].to_numpy()
-        # Half a count for words without continuations.
-        self.lowest = (pooled + 0.5) / (pooled + 0.5).sum()
-        self.share = np.empty((2, size))
-        for k in range(2):
-            whole = max(own[k].sum(), 1.0)
-            taken = np.minimum(own[k], DISCOUNT)
-            back = taken.sum() / whole if own[k].any() else 1.0
-            self.share[k] = (own[k] - taken) / whole / self.lowest + back
-
-    def log_likelihoods(self, numbers: np.ndarray) -> np.ndarray:
-        """The log-likelihood of each word by the ordinary and the toxic model."""
-        first, second = numbers[:-1], numbers[1:]
-        counts = self.pairs[:, _cell(first << 20 | second)].astype(np.float64)
-        total = self.totals.sum(axis=0)[first]
-        shared = (np.maximum(counts.sum(axis=0) - DISCOUNT, 0) + DISCOUNT * self.kinds[first] * self.lowest[second]) / np.maximum(total, 1.0)
-        shared = np.where(total > 0, np.minimum(shared, 1.0), self.lowest[second])
-        out = np.empty((2, len(first)))
-        for k in range(2):
-            total = self.totals[k][first]
-            count = np.maximum(np.minimum(counts[k], total) - CLASS_DISCOUNT, 0)
-            back = np.where(total > 0, self.taken[k][first], 1.0) * shared * self.share[k][second]
-            out[k] = np.log((count + back) / np.maximum(total, 1.0))
-        return out
+    def missing(self, text: bytes) -> np.ndarray:
+        """The distinct keys of a text that are not among the rows sent."""
+        words, stems, pairs = self._keys(text)
+        keys = np.unique(np.concatenate([words, stems[self.sent.find(words) < 0], pairs]))
+        return keys[self.sent.find(keys) < 0]
 
-    def difference(self, text: bytes, ids: WordIds) -> float:
+    def difference(self, text: bytes, joined: Rows | None = None) -> float:
         """The largest difference per word in any window; a shorter text counts as a whole window."""
-        ordinary, toxic = self.log_likelihoods(_numbered(text, ids))
-        sums = np.concatenate([[0.0], np.cumsum(toxic - ordinary)])
+        words, stems, pairs = self._keys(text)
+        known, first, second = np.zeros(len(words), bool), np.zeros(len(words)), np.zeros(len(words))
+        excess = np.zeros(len(pairs))
+        sources = [self.sent] if joined is None else [self.sent, joined]
+        for keys in (words, stems):
+            open_ = np.flatnonzero(~known)
+            for rows in sources:
+                at = rows.find(keys[open_])
+                hit = open_[at >= 0]
+                first[hit], second[hit], known[hit] = rows.first[at[at >= 0]], rows.second[at[at >= 0]], True
+        for rows in sources:
+            excess += rows.first[rows.find(pairs)]
+        sums = np.concatenate([[0.0], np.cumsum(first[:-1] + second[1:] + excess)])
         if len(sums) <= WINDOW:
             return float(np.clip(sums[-1] / WINDOW, -REACH, REACH))
         return float(np.clip((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW, -REACH, REACH))
 
 
-def _model(learnt: DataFrame) -> ToxicityModel:
-    words = learnt.select("text", "label").mapInArrow(_word_counts, "word long, toxic long, ordinary long")
-    sums = words.groupBy("word").agg((F.sum("toxic") + F.sum("ordinary")).alias("n"))
-    top = sums.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow()
-    vocabulary = top["word"].to_numpy()
-    pairs = written(
-        learnt.select("text", "label").mapInArrow(_pair_counts(vocabulary), "pair long, toxic long, ordinary long")
-        .groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
-        "toxicity-pairs",
-    )
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(rows[c].to_numpy() for c in ("key", "a", "b"))
 
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = _cell(np.asarray(batch.column("pair")))
-            yield pa.record_batch([pa.array(cells), batch.column("toxic"), batch.column("ordinary")], ["cell", "toxic", "ordinary"])
 
-    cells = pairs.mapInArrow(folded, "cell long, toxic long, ordinary long").groupBy("cell").agg(
-        F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary")
-    )
-    names = ("toxic", "ordinary")
-    kinds = [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in names]
-    taken = [F.sum(F.least(F.col(c).cast("double"), F.lit(CLASS_DISCOUNT))).alias(f"{c}_taken") for c in names]
-    by_first = pairs.groupBy(F.shiftright("pair", 20).alias("word")).agg(
-        *[F.sum(c).alias(c) for c in names], *taken, F.count("*").alias("kinds")
-    )
-    by_second = pairs.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 20) - 1)).alias("word")).agg(*kinds, F.count("*").alias("kinds"))
-    return ToxicityModel(vocabulary, cells.toArrow(), by_first.toArrow(), by_second.toArrow())
+def differences(rows: DataFrame, learnt: DataFrame) -> DataFrame:
+    """(doc_id, difference) for each row (doc_id, text), by the models of ``learnt``."""
+    table = _table(learnt)
+    # Frequencies in sixteenths of a power of two: as many of the highest as may be sent.
+    level = F.floor(F.log2("n") * 16)
+    least = held = 0
+    for row in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > MOST_SENT:
+            least = row["level"] + 1
+            break
+    sent = rows.sparkSession.sparkContext.broadcast(_arrays(table.where(level >= least).toArrow()))
+
+    def model() -> ToxicityModel:
+        return ToxicityModel(Rows(*sent.value))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model()
+        for batch in batches:
+            if "joined" in batch.schema.names:
+                own = [Rows(*(np.array([x[c] for x in j or []], t) for c, t in (("key", np.int64), ("a", float), ("b", float)))) for j in batch.column("joined").to_pylist()]
+            else:
+                own = [None] * batch.num_rows
+            values = [held.difference(t, j) for t, j in zip(text_bytes(batch.column("text")), own, strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "difference"])
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model()
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                keys = held.missing(text)
+                yield pa.record_batch([pa.array(np.full(len(keys), row)), pa.array(keys)], ["row", "key"])
+
+    if held > MOST_SENT:
+        numbered = written(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+        found = (
+            numbered.select("row", "text").mapInArrow(lacking, "row long, key long")
+            .join(table.where(level < least).select("key", "a", "b"), "key")
+            .groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "a", "b")).alias("joined"))
+        )
+        rows = numbered.join(found, F.col("row") == F.col("_row"), "left").select("doc_id", "text", "joined")
+    return rows.mapInArrow(scored, "doc_id long, difference double")
 
 
 def logistic(at: np.ndarray, counts: np.ndarray, positives: np.ndarray) -> tuple[float, float]:
@@ -248,7 +338,6 @@ def score_toxicity(
     Repeated rows are scored alike; a document with several labels counts by their mean;
     other columns are not read. Without labels of both kinds every score is 0.5.
     """
-    spark = docs.sparkSession
     named = written(one_label(labels, doc_id, label), "toxicity-labels")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     part = F.pmod(F.crc32(F.concat(F.lit("part:"), F.col("labelled_id").cast("string")).cast("binary")), F.lit(CALIBRATION))
@@ -258,16 +347,7 @@ def score_toxicity(
     else:
         usable = sent_if_small(usable, 1_000_000)
         learnt = rows.join(usable, rows["doc_id"] == usable["labelled_id"])
-        sent = spark.sparkContext.broadcast(_model(learnt.where("part > 0")))
-
-        def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = sent.value
-            ids = WordIds(model.vocabulary)
-            for batch in batches:
-                values = [model.difference(t, ids) for t in text_bytes(batch.column("text"))]
-                yield pa.record_batch([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "difference"])
-
-        scored = written(rows.mapInArrow(differences, "doc_id long, difference double"), "toxicity-differences")
+        scored = written(differences(rows, learnt.where("part > 0")), "toxicity-differences")
         place = F.floor((F.col("difference") + REACH) / (2 * REACH) * BINS)
         bins = (
             scored.join(usable.where("part = 0"), scored["doc_id"] == F.col("labelled_id"))
