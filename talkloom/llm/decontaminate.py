@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, checked exactly.
 
-Test items are put into size classes (8, 16, 32, .. shingles). For each class a document
+Items of up to ``LOOKED_UP`` shingles are candidates in every document that has one of their
+shingles. Longer items are put into size classes (8, 16, 32, .. shingles). For each class a document
 is cut into windows of twice the class size, one class size apart, so that any passage
 of an item's length lies inside a window and the wanted containment of the item becomes
 a known least Jaccard similarity with that window: a long document cannot hide a short
@@ -31,6 +32,7 @@ from talkloom.sources.scratch import written
 PERCENT = 75
 HASHES = 64
 SMALLEST = 8
+LOOKED_UP = 2
 #: Shingles of the items that are sent to the tasks at once: 16 MB, and the rows of one block.
 BLOCK_SHINGLES = 2_000_000
 _COLUMNS = 4096
@@ -57,7 +59,12 @@ class _ItemIndex:
         self.ids = list(ids.values())
         self.sets = [np.frombuffer(s, np.uint64) for s in ids]
         by_class: dict[int, list[int]] = {}
+        short = [p for p, own in enumerate(self.sets) if len(own) <= LOOKED_UP]
+        keys = np.concatenate([np.empty(0, np.uint64), *[self.sets[p] for p in short]])
+        self.short = self._sorted(keys, np.repeat(np.array(short, np.int64), [len(self.sets[p]) for p in short]))
         for place, own in enumerate(self.sets):
+            if len(own) <= LOOKED_UP:
+                continue
             size = SMALLEST
             while size < len(own):
                 size *= 2
@@ -66,11 +73,14 @@ class _ItemIndex:
         salts = (np.arange(permutations.size, dtype=np.uint64) << np.uint64(32))
         for size, places in by_class.items():
             keys = np.concatenate([permutations.signature(self.sets[p]).astype(np.uint64) | salts for p in places])
-            order = np.argsort(keys, kind="stable")
-            bits = max(16, int(len(keys) * 16).bit_length())
-            flags = np.zeros(1 << bits, bool)
-            flags[self.flag(keys, bits)] = True
-            self.classes[size] = (keys[order], np.repeat(places, permutations.size)[order], bits, flags)
+            self.classes[size] = self._sorted(keys, np.repeat(places, permutations.size))
+
+    def _sorted(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        bits = max(16, int(len(keys) * 16).bit_length())
+        flags = np.zeros(1 << bits, bool)
+        flags[self.flag(keys, bits)] = True
+        return keys[order], places[order], bits, flags
 
     @staticmethod
     def flag(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -78,7 +88,9 @@ class _ItemIndex:
         return (keys ^ ((keys >> np.uint64(32)) * np.uint64(0x9E3779B1))) & np.uint64((1 << bits) - 1)
 
     def candidates(self, shingles: np.ndarray, permutations: MinHash) -> set[int]:
-        found: set[int] = set()
+        found = self._found(shingles, *self.short)
+        if not self.classes:
+            return found
         salts = (np.arange(permutations.size, dtype=np.uint64) << np.uint64(32))[:, None]
         blocks = self._blocks(shingles, permutations)
         size = SMALLEST
@@ -87,13 +99,16 @@ class _ItemIndex:
                 size *= 2
                 blocks = _pairwise(blocks)
             windows = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-            keys, places, bits, flags = self.classes[wanted]
-            values = windows.astype(np.uint64) | salts
-            hits = values[flags[self.flag(values, bits)]]
-            if len(hits):
-                left, right = np.searchsorted(keys, hits), np.searchsorted(keys, hits, "right")
-                for a, b in set(zip(left[left < right].tolist(), right[left < right].tolist(), strict=True)):
-                    found.update(places[a:b].tolist())
+            found |= self._found(windows.astype(np.uint64) | salts, *self.classes[wanted])
+        return found
+
+    def _found(self, values: np.ndarray, keys: np.ndarray, places: np.ndarray, bits: int, flags: np.ndarray) -> set[int]:
+        found: set[int] = set()
+        hits = values[flags[self.flag(values, bits)]]
+        if len(hits):
+            left, right = np.searchsorted(keys, hits), np.searchsorted(keys, hits, "right")
+            for a, b in set(zip(left[left < right].tolist(), right[left < right].tolist(), strict=True)):
+                found.update(places[a:b].tolist())
         return found
 
     @staticmethod

@@ -129,6 +129,21 @@ def test_leaks_equal_brute_force(spark, docs_of):
     assert {tuple(r) for r in found.collect()} == expected and len(expected) > 10
 
 
+def test_no_short_item_is_missed_in_long_documents(spark, docs_of):
+    rand = random.Random(9)
+    texts = [rand.choices(VOCABULARY, k=3000) for _ in range(30)]
+    items = []
+    for k in range(1800):
+        words, n = texts[k % 30], 5 + k % 2
+        at = rand.randrange(len(words) - n)
+        items.append((k, " ".join(words[at : at + n])))
+    rows = [(d, " ".join(words)) for d, words in enumerate(texts)]
+    sets = {d: shingles(t) for d, t in rows}
+    expected = {(d, i) for i, t in items for d, own in sets.items() if shingles(t) <= own}
+    found = decontaminate.find_leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and len(expected) >= 1800
+
+
 def test_blocks_of_items_change_nothing(spark, docs_of, monkeypatch):
     rows, items = planted()
     bench = spark.createDataFrame(items, "item_id long, text string")
