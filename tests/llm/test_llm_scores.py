@@ -97,6 +97,18 @@ def test_fences_follow_their_group(spark):
     assert rules.judge(docs.where("doc_id < 0")).count() == 0
 
 
+def test_fences_above_fifty_a_word_still_hold(docs_of):
+    rand = random.Random(4)
+
+    def text(length):
+        return " ".join("".join(rand.choices("abcdefgh", k=length)) for _ in range(60))
+
+    rows = [(k, text(20 if k % 5 else 30)) for k in range(300)]  # median 20, 0.9 quantile 30: a fence of 60
+    rows += [(1000, text(10_000)), (1001, text(70)), (1002, text(55))]
+    kept = {r.doc_id: r.kept for r in rules.judge(docs_of(rows)).collect()}
+    assert [d for d, ok in sorted(kept.items()) if not ok] == [1000, 1001]
+
+
 def test_mix_reaches_targets(spark):
     rand = random.Random(3)
     rows = [(k, " ".join(["w"] * rand.randrange(0, 60)), None, s) for k, s in enumerate(rand.choices(["a", "b", "c", None], [70, 20, 3, 7], k=2000))]
