@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import chat_format, decontaminate, mixing, neardup, quality, rules, token_files, toxicity, urls, warc
+from talkloom.llm import chat_format, decontaminate, divergence, hard_negatives, mixing, neardup, quality, rules, token_counts, token_files, toxicity, urls, warc
 from talkloom.sources.scratch import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -123,11 +123,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), tokenizer_path())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows with an id divisible by 100; every seventh id has a wrong label."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        hard_negatives.whole_components("embedding").alias("vector"),
+    )
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_decontamination, op2_quality, op3_toxicity, op4_quality_rules, op5_mixing,
         op6_chat_format, op7_url_filter, op8_warc, op9_near_duplicates, op10_token_files,
+        op11_hard_negatives, op12_source_divergence, op13_token_counts,
     )
 }
 
@@ -285,6 +304,63 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM last
 """
 
+_MINED = f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hard_negatives.POSITIVES}
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND {hard_negatives.LOW} * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= {hard_negatives.NEGATIVES}
+"""
+
+_AUDIT = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents
+),
+t AS (SELECT r, lang, source, unnest(found) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS kinds, sum(n) AS total FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+w AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+    1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + {divergence.PRIOR})) // (w.total + {divergence.PRIOR} * kinds) AS p,
+    1 + ({divergence.SCALE}::HUGEINT * (k.n + {divergence.PRIOR})) // (v.total + {divergence.PRIOR} * kinds) AS q
+  FROM w JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+),
+everything AS (
+  SELECT * FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM everything QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": _LEAKS,
     "op4_quality_rules": _RULES,
@@ -292,4 +368,6 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": _CHAT,
     "op8_warc": _WARC,
     "op9_near_duplicates": _NEAR,
+    "op11_hard_negatives": _MINED,
+    "op12_source_divergence": _AUDIT,
 }
