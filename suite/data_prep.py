@@ -38,6 +38,13 @@ def s1_read_instructions(spark, sf_dir):
     return R.read_instructions(spark, path, schema).select(*RECORD)
 
 
+def s1_read_instructions_splits(spark, sf_dir):
+    """The form for arrays of any size: files are read in splits, objects cut out in place."""
+    path = I.write_arrays(I.records(spark, sf_dir), "arrays")
+    schema = T.StructType(KEYS + INSTRUCTION.fields)
+    return R.read_instructions(spark, path, schema, whole_bytes=0).select(*RECORD)
+
+
 def s2_read_jsonl(spark, sf_dir):
     path = scratch_path(spark, "prompts")
     R.write_jsonl(I.prompts(spark, sf_dir).select(*PROMPT), path)
@@ -201,6 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         s1_read_instructions,
+        s1_read_instructions_splits,
         s2_read_jsonl,
         s3_jsonl_roundtrip,
         s4_dataset_roundtrip,
@@ -252,6 +260,7 @@ SELECT conv_id, turn, batch_id, array_to_string(full_ids, ' ') AS ids,
 
 ORACLES = {
     "s1_read_instructions": _RECORDS,
+    "s1_read_instructions_splits": _RECORDS,
     "s2_read_jsonl": _PROMPTS,
     "s3_jsonl_roundtrip": _RECORDS,
     "s4_dataset_roundtrip": _CLIPPED,

@@ -54,7 +54,7 @@ def numbered_lines(
         "block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_row")).alias("shift"),
     )
-    if _most_splits(spark, listing.load(path)) <= MAX_BROADCAST_SPLITS:
+    if most_splits(spark, listing.load(path)) <= MAX_BROADCAST_SPLITS:
         starts = F.broadcast(starts)
     numbered = lines.join(starts, ["file", "block"]).select(
         "file", (F.col("row") + F.col("shift")).alias("pos"), "text"
@@ -80,7 +80,7 @@ def numbered_lines(
     return numbered.unionByName(final).unionByName(hollow)
 
 
-def _most_splits(spark: SparkSession, files: DataFrame) -> int:
+def most_splits(spark: SparkSession, files: DataFrame) -> int:
     """An upper bound for the number of splits Spark reads the files in, from their sizes alone."""
     count, size = files.agg(F.count("*"), F.sum("length")).first()
     if not count:

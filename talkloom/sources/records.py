@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkloom.functions.rows import exploded
+from talkloom.sources.arrays import read_array_splits
 from talkloom.sources.lines import numbered_lines
 from talkloom.sources.schemas import INSTRUCTION
 
 
-def read_instructions(spark: SparkSession, path: str, schema: T.StructType = INSTRUCTION) -> DataFrame:
+#: Files up to this size are read whole, one task a file.
+WHOLE_BYTES = 64 << 20
+
+
+def read_instructions(
+    spark: SparkSession, path: str, schema: T.StructType = INSTRUCTION, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
     """Rows of JSON array files as ``(file, pos, <fields>)``.
 
-    One array is one file and cannot be split, so parallelism comes from the number
-    of files; write the result as JSON lines or Parquet once and go on from there.
-    A malformed file fails the read.
+    Small files are read as wholes; if any is larger, files are read in splits, two
+    times, with the same rows. A malformed file fails the read.
     """
+    # Sizes alone: the contents are not read for this.
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    if largest is not None and largest > whole_bytes:
+        return read_array_splits(spark, path, schema)
     raw = spark.read.text(path, wholetext=True)
     rows = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
     files = raw.select(F.col("_metadata.file_path").alias("file"), "value")
