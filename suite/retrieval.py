@@ -8,7 +8,9 @@ from suite import inputs as I
 from suite.sql import DISTANCES, DISTANCES_ONLY, PASSAGES, QUESTIONS, SIMS
 from talkloom.functions import vectors as V
 from talkloom.operators import retrieve as R
-from talkloom.sources.scratch import scratch_path
+from talkloom.operators.stores import EmbeddingStore, FlatIndex
+from talkloom.plans.pivots import pivot_index
+from talkloom.sources.scratch import scratch_path, written
 
 NEAR = 0.3
 
@@ -33,6 +35,18 @@ def r1_embed(spark, sf_dir):
     ).select("item_id", F.col("dim").cast("long").alias("dim"), F.col("value").cast("long").alias("n"))
 
 
+def r1_embed_store(spark, sf_dir):
+    """Embeddings from a store that already holds half of the texts; every text is encoded once."""
+    queries = I.table(spark, sf_dir, "benchmark").select(
+        "item_id", R.query_instruction(F.col("text")).alias("query")
+    )
+    store = EmbeddingStore(spark, scratch_path(spark, "embeddings"), "letters of 16 kinds")
+    store.fill(queries.where("item_id % 2 = 0"), letter_encoder, "query")
+    return store.embed(queries, letter_encoder, "query").select(
+        "item_id", F.posexplode("embedding").alias("dim", "value")
+    ).select("item_id", F.col("dim").cast("long").alias("dim"), F.col("value").cast("long").alias("n"))
+
+
 def r2_normalize(spark, sf_dir):
     unit = I.question_vectors(spark, sf_dir).select(
         "query_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("dim", "value")
@@ -76,6 +90,31 @@ def r5_best_match(spark, sf_dir):
     )
 
 
+def _index(spark, sf_dir, metric):
+    stored = written(I.passages(spark, sf_dir), "passages")
+    return stored, pivot_index(stored.select("pos", "embedding"), metric)
+
+
+def r5_best_match_pivots(spark, sf_dir):
+    """Cells of passages that cannot hold a match are not read."""
+    passages, index = _index(spark, sf_dir, "cosine")
+    return R.retrieve_by_cosine(I.question_vectors(spark, sf_dir), passages, "single", index=index)
+
+
+def r6_threshold_matches_pivots(spark, sf_dir):
+    passages, index = _index(spark, sf_dir, "cosine")
+    return R.retrieve_by_cosine(
+        I.question_vectors(spark, sf_dir), passages, "multi", threshold=NEAR, index=index
+    )
+
+
+def r8_l2_range_pivots(spark, sf_dir):
+    passages, index = _index(spark, sf_dir, "l2")
+    return R.l2_range_context(
+        I.question_vectors(spark, sf_dir), passages, radius=2.2, k=5, index=index
+    )
+
+
 def r6_threshold_matches(spark, sf_dir):
     return R.retrieve_by_cosine(
         I.question_vectors(spark, sf_dir), I.passages(spark, sf_dir), "multi", threshold=NEAR
@@ -102,6 +141,20 @@ def r9_index_roundtrip(spark, sf_dir):
     return stored.select("pos", "text", F.round(V.norm(F.col("embedding")), 5).alias("norm"))
 
 
+def r9_index_versions(spark, sf_dir):
+    """An index built by commits, one of them repeated; the version before the last is read too."""
+    passages = written(I.passages(spark, sf_dir), "passages")
+    middle = passages.agg(F.floor((F.min("pos") + F.max("pos")) / 2)).first()[0] or 0
+    index = FlatIndex(spark, scratch_path(spark, "versions"))
+    first = index.append(passages.where(F.col("pos") <= middle), "first half")
+    last = index.append(passages.where(F.col("pos") > middle), "second half")
+    index.append(passages.where(F.col("pos") > middle), "second half")
+    found = [index.passages(v).withColumn("version", F.lit(v)) for v in (first, last)]
+    return found[0].unionByName(found[1]).select(
+        "version", "pos", "text", F.round(V.norm(F.col("embedding")), 5).alias("norm")
+    )
+
+
 def _document_queries(spark, sf_dir):
     """Every document as a query, with the question vectors dealt out by id."""
     place, _ = I.vector_place(spark, sf_dir, "doc_id")
@@ -131,16 +184,21 @@ QUERIES = {
     f.__name__: f
     for f in [
         r1_embed,
+        r1_embed_store,
         r2_normalize,
         r3_cosine_scores,
         r3_cosine_scores_blocks,
         r4_rank,
         r4_top_k,
         r5_best_match,
+        r5_best_match_pivots,
         r6_threshold_matches,
+        r6_threshold_matches_pivots,
         r8_l2_range,
+        r8_l2_range_pivots,
         r8_l2_range_rows,
         r9_index_roundtrip,
+        r9_index_versions,
         r10_route_retrieval,
         r11_fallback,
     ]
@@ -240,3 +298,14 @@ WITH {TEXT_SIMS}, {numbered(0.7)}
 SELECT query_id, coalesce(knowledge, text, '') AS knowledge
 FROM questions LEFT JOIN matches USING (query_id) LEFT JOIN benchmark ON item_id = query_id""",
 }
+ORACLES |= {
+    "r1_embed_store": ORACLES["r1_embed"],
+    "r5_best_match_pivots": ORACLES["r5_best_match"],
+    "r6_threshold_matches_pivots": ORACLES["r6_threshold_matches"],
+    "r8_l2_range_pivots": ORACLES["r8_l2_range"],
+    "r9_index_versions": f"""
+WITH {PASSAGES},
+ends AS (SELECT (min(pos) + max(pos)) // 2 AS middle FROM passages)
+SELECT version, pos, text, round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm
+FROM passages, ends, (SELECT unnest([1, 2])::INTEGER AS version) WHERE version = 2 OR pos <= middle""",
+}

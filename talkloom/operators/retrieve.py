@@ -15,6 +15,7 @@ from talkloom.functions.plugins import Encoder, embedding
 from talkloom.functions.prompts import query_instruction
 from talkloom.functions.strings import route_by_length
 from talkloom.plans.numbering import number_rows
+from talkloom.plans.pivots import PivotIndex
 from talkloom.plans.scoring import score_pairs
 from talkloom.sources.scratch import written
 
@@ -44,9 +45,20 @@ def load_flat_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("pos long, text string, embedding array<float>").parquet(path)
 
 
-def cosine_scores(queries: DataFrame, passages: DataFrame, at_least: float) -> DataFrame:
+def _scores(
+    queries: DataFrame, passages: DataFrame, metric: str, cut: float, top_k: int | None = None, index: PivotIndex | None = None
+) -> DataFrame:
+    """Pairs inside the cut; an index of the passages leaves out cells that cannot hold any."""
+    if index is None:
+        return score_pairs(queries, passages, metric, cut=cut, top_k=top_k)
+    if index.metric != metric:
+        raise ValueError(f"the index is for {index.metric}, not for {metric}")
+    return index.search(queries, cut, top_k)
+
+
+def cosine_scores(queries: DataFrame, passages: DataFrame, at_least: float, index: PivotIndex | None = None) -> DataFrame:
     """``(query_id, pos, sim)`` of every pair with at least that similarity."""
-    return score_pairs(queries, passages, "cosine", cut=at_least).withColumnRenamed("score", "sim")
+    return _scores(queries, passages, "cosine", at_least, index=index).withColumnRenamed("score", "sim")
 
 
 def rank_desc(scores: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -76,9 +88,11 @@ def _ranked(scores: DataFrame, order: list[str | Column], top_k: int | None) ->
     )
 
 
-def best_match(queries: DataFrame, passages: DataFrame, threshold: float = 0.6) -> DataFrame:
+def best_match(
+    queries: DataFrame, passages: DataFrame, threshold: float = 0.6, index: PivotIndex | None = None
+) -> DataFrame:
     """``(query_id, knowledge)``: the closest passage if its similarity reaches the threshold."""
-    scored = score_pairs(queries, passages, "cosine", cut=threshold, top_k=1)
+    scored = _scores(queries, passages, "cosine", threshold, 1, index)
     best = scored.groupBy("query_id").agg(
         F.max_by("pos", F.struct("score", (-F.col("pos")).alias("early"))).alias("pos")
     )
@@ -86,13 +100,15 @@ def best_match(queries: DataFrame, passages: DataFrame, threshold: float = 0.6)
     return _per_query(queries, found)
 
 
-def threshold_matches(queries: DataFrame, passages: DataFrame, threshold: float = 0.7) -> DataFrame:
+def threshold_matches(
+    queries: DataFrame, passages: DataFrame, threshold: float = 0.7, index: PivotIndex | None = None
+) -> DataFrame:
     """``(query_id, knowledge)``: all passages above the threshold, best first, numbered.
 
     The result of a query is one string, so its matches meet in one row by definition;
     ``rank_desc`` over ``cosine_scores`` gives them as rows.
     """
-    scored = score_pairs(queries, passages, "cosine", cut=threshold)
+    scored = _scores(queries, passages, "cosine", threshold, index=index)
     above = scored.filter(F.col("score") > threshold)
     texts = _with_texts(above, passages)
     item = F.struct((-F.col("score")).alias("far"), "pos", "text")
@@ -115,25 +131,25 @@ def retrieve_by_cosine(queries: DataFrame, passages: DataFrame, mode: str, **opt
 
 
 def l2_range_matches(
-    queries: DataFrame, passages: DataFrame, radius: float, k: int | None = None
+    queries: DataFrame, passages: DataFrame, radius: float, k: int | None = None, index: PivotIndex | None = None
 ) -> DataFrame:
     """``(query_id, pos, distance, rank)``: the passages nearer than ``radius``, from rank 1.
 
     The distance is the squared L2 distance. All of them come out unless ``k`` is given.
     """
-    scored = score_pairs(queries, passages, "l2", cut=radius, top_k=k)
+    scored = _scores(queries, passages, "l2", radius, k, index)
     return _ranked(scored.withColumnRenamed("score", "distance"), ["distance", "pos"], k)
 
 
 def l2_range_context(
-    queries: DataFrame, passages: DataFrame, radius: float, k: int | None = None
+    queries: DataFrame, passages: DataFrame, radius: float, k: int | None = None, index: PivotIndex | None = None
 ) -> DataFrame:
     """``(query_id, knowledge)``: texts nearer than ``radius``, nearest first, without a separator.
 
     A query's texts meet in one row by definition; ``k`` keeps the nearest only, and
     ``l2_range_matches`` gives them as rows.
     """
-    scored = score_pairs(queries, passages, "l2", cut=radius, top_k=k)
+    scored = _scores(queries, passages, "l2", radius, k, index)
     if k is not None:
         scored = _ranked(scored, ["score", "pos"], k).drop("rank")
     texts = _with_texts(scored, passages)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from talkloom.sources.scratch import written
 
 SCORED = "query_id long, pos long, score double"
-_ARROW = pa.schema(
+ARROW = pa.schema(
     [("query_id", pa.int64()), ("pos", pa.int64()), ("score", pa.float64())]
 )
 _TILE = 512
@@ -57,7 +57,7 @@ def score_pairs(
     block_rows = max(1, block_bytes // (row_bytes + _HELD_BYTES * (top_k or 0)))
     if count <= block_rows:
         # Bounded by the check just made.
-        ids, vectors = _matrix(q.toArrow(), metric)
+        ids, vectors = matrix(q.toArrow(), metric)
         shared = q.sparkSession.sparkContext.broadcast((ids, vectors))
         return p.mapInArrow(_against(shared, metric, cut, top_k), SCORED)
 
@@ -74,17 +74,17 @@ def score_pairs(
     right = right.select("id", "embedding", F.col("qb").cast("long"), F.col("pb").cast("long"))
 
     def cell(qs: pa.Table, ps: pa.Table) -> pa.Table:
-        ids, vectors = _matrix(qs, metric)
-        keeper = _Keeper(ids, vectors, metric, cut, top_k)
-        batches = [*keeper.add(*_matrix(ps, metric)), *keeper.rest()]
-        return pa.Table.from_batches(batches, _ARROW)
+        ids, vectors = matrix(qs, metric)
+        keeper = Keeper(ids, vectors, metric, cut, top_k)
+        batches = [*keeper.add(*matrix(ps, metric)), *keeper.rest()]
+        return pa.Table.from_batches(batches, ARROW)
 
     return (
         left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(cell, SCORED)
     )
 
 
-def _matrix(table: pa.Table | pa.RecordBatch, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def matrix(table: pa.Table | pa.RecordBatch, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors as arrays; for cosine at unit length, without zero vectors."""
     ids = table.column(0).to_numpy()
     lists = table.column(1)
@@ -104,15 +104,15 @@ def _matrix(table: pa.Table | pa.RecordBatch, metric: str) -> tuple[np.ndarray,
 def _against(shared, metric, cut, top_k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
-        keeper = _Keeper(ids, vectors, metric, cut, top_k)
+        keeper = Keeper(ids, vectors, metric, cut, top_k)
         for batch in batches:
-            yield from keeper.add(*_matrix(batch, metric))
+            yield from keeper.add(*matrix(batch, metric))
         yield from keeper.rest()
 
     return run
 
 
-class _Keeper:
+class Keeper:
     """Scores passages tile by tile; holds ``top_k`` rows per query, or passes survivors on.
 
     A matrix product finds the pairs that may count, with a slack for its rounding; those
@@ -208,5 +208,5 @@ class _Keeper:
         score = -cost if self.metric == "cosine" else cost
         return pa.RecordBatch.from_arrays(
             [pa.array(self.ids[rows], pa.int64()), pa.array(pos, pa.int64()), pa.array(score)],
-            schema=_ARROW,
+            schema=ARROW,
         )
