@@ -3,7 +3,6 @@
 import math
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,62 +160,3 @@ def test_url_model_fits_and_handles_long_urls(spark):
     assert all((r.score >= 0.5) == bool(r.label) for r in scored if len(r.url) < 1000)
     none = urls.fit(urls.labelled_table(spark, LABELLED_URLS).where("label > 5"))
     assert set(none.weights) == {0.0} and none.bias == 0.0
-
-
-def slow_differences(learnt, texts):
-    """The two models by their definition, over plain dictionaries of all words and bigrams."""
-    words = [["<", *re.findall(r"[a-z0-9]+", (t or "").lower())] for t in texts]
-    pairs = [Counter(), Counter()]
-    for text, label in learnt:
-        own = ["<", *re.findall(r"[a-z0-9]+", text.lower())]
-        pairs[label].update(zip(own[:-1], own[1:], strict=True))
-    both = pairs[0] + pairs[1]
-    pooled, kinds, stems = Counter(s for _, s in both), Counter(f for f, _ in both), [Counter(), Counter()]
-    own = [Counter(s for _, s in p) for p in pairs]
-    for k, counts in enumerate(own):
-        for w, n in counts.items():
-            stems[k][w[:5]] += n
-    whole = sum(pooled.values()) + 0.5 * (len(pooled) + 1)
-    totals, taken = [Counter(), Counter()], [Counter(), Counter()]
-    for k in range(2):
-        for (f, _), n in pairs[k].items():
-            totals[k][f] += n
-            taken[k][f] += min(n, 2.0)
-    all_totals = totals[0] + totals[1]
-
-    def log_likelihood(k, f, s):
-        lowest = (pooled[s] + 0.5) / whole
-        n = own[k][s] if s in pooled else stems[k][s[:5]]
-        m = own[1 - k][s] if s in pooled else stems[1 - k][s[:5]]
-        part = sum(own[k].values()) / (sum(own[0].values()) + sum(own[1].values()))
-        share = (n + 1.0 * part) / ((n + m + 1.0) * part)
-        shared = min(1.0, (max(both[f, s] - 0.75, 0) + 0.75 * kinds[f] * lowest) / all_totals[f]) if all_totals[f] else lowest
-        back = (taken[k][f] if totals[k][f] else 1.0) * shared * share
-        return math.log((max(pairs[k][f, s] - 2.0, 0) + back) / max(totals[k][f], 1))
-
-    for text in words:
-        values = [log_likelihood(1, f, s) - log_likelihood(0, f, s) for f, s in zip(text[:-1], text[1:], strict=True)]
-        spans = [values] if len(values) < 4 else [values[k : k + 4] for k in range(len(values) - 3)]
-        yield max(-3.0, min(3.0, max(sum(v) / 4 for v in spans)))
-
-
-def many_words():
-    """More distinct words and stems than any fixed vocabulary; the telltale pairs are of rare words."""
-    rand = random.Random(11)
-    common = [f"{k:05d}w" for k in range(18_000)]
-    learnt = [(" ".join(common[k : k + 60] * 2), 0) for k in range(0, 18_000, 60)]
-    rare = [f"{c}rare{k}" for c in "mn" for k in range(40)]
-    for k in range(80):
-        pair = [rare[k % 40], rare[40 + k % 40]] * 4
-        learnt.append((" ".join(rand.choices(common, k=40) + (pair if k < 40 else rand.sample(pair, 8))), int(k < 40)))
-    seen = [" ".join(rand.choices(common, k=30) + [rare[k], rare[40 + k], rare[k]]) for k in range(20)]
-    return learnt, [*seen, "mrareNEW x", "00001wNEW 00002w", "never seen words", None, "", "?", *[t for t, _ in learnt[-60:]]]
-
-
-@pytest.mark.parametrize("most", [toxicity.MOST_SENT, 500, 0])
-def test_toxicity_counts_every_word_and_bigram(spark, monkeypatch, most):
-    monkeypatch.setattr(toxicity, "MOST_SENT", most)
-    learnt, texts = many_words()
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    found = toxicity.differences(rows, spark.createDataFrame(learnt, "text string, label int").repartition(3))
-    assert [r.difference for r in found.orderBy("doc_id").collect()] == pytest.approx(list(slow_differences(learnt, texts)), abs=1e-9)
