@@ -34,6 +34,8 @@ from talkloom.sources.scratch import written
 
 LEAST_REVISIT = 1000
 FILE_BYTES = 64 << 20
+#: Compressed bytes that one task reads back, as long as there are files to share out.
+TASK_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 _BLOCK = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -197,11 +199,16 @@ class Archive:
     manifest: DataFrame
 
     def records(self, with_payload: bool = True) -> DataFrame:
-        """The rows of ``RECORDS``, read from the files that the manifest names, a few files to a task.
+        """The rows of ``RECORDS``, read from the files that the manifest names.
 
-        Revisits have no payload. A damaged or cut record is an error.
+        Files are shared out over the cores, and over more tasks if these would read more
+        than ``TASK_BYTES`` each; a file is read by one task. Revisits have no payload. A
+        damaged or cut record is an error.
         """
-        files = self.manifest.select("file").repartition(F.col("file"))
+        count, size = self.manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        tasks = max(1, min(count, max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+        # Ranges of names are even in number, and a stated number of tasks is kept.
+        files = self.manifest.select("file").repartitionByRange(tasks, "file")
         return files.mapInArrow(_reader(self.folder, with_payload), RECORDS)
 
 
@@ -219,8 +226,9 @@ def write_warc(
     A null html is an empty payload, a null url an empty target. Null page ids come
     first and have no id header; among rows of one payload a null id is never the
     response unless all are null, which then are all responses. Rows that repeat both
-    the largest id and the payload are all responses. Other columns are not read. An
-    empty table leaves an empty manifest.
+    the largest id and the payload are all responses. Rows of one page id, or without
+    one, are written by one task. Other columns are not read. An empty table leaves an
+    empty manifest.
     """
     payload = F.encode(text_of(html), "UTF-8")
     rows = pages.select(

@@ -65,6 +65,15 @@ def pages(spark):
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "0 as digest", "1 as kind").repartition(3)
 
 
+def test_many_archives_are_read_by_many_tasks(spark, folder):
+    frame = spark.range(48).selectExpr("id as page_id", "concat('http://a/', id) as url", "repeat(cast(id as string), 40) as html")
+    archive = warc.write_warc(frame, folder("warc-many"), file_bytes=200)
+    assert archive.manifest.count() >= 24
+    records = archive.records()
+    sizes = records.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and min(sizes) > 0 and sum(sizes) == 48
+
+
 def test_warc_round_trip(spark, folder):
     rows, frame = pages(spark)
     archive = warc.write_warc(frame, folder("warc"), file_bytes=300)
