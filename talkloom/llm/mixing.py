@@ -6,9 +6,10 @@ it cannot take is shared by the others, until no source is above its cap. Each d
 is then taken as many whole times as its source's target holds the source, and the
 fraction that is left is filled with further documents in a seeded order.
 
-That order is by a hash of the id. Documents fall into 4096 hash ranges per source; sums of the
-ranges tell in which one the fraction ends, and only the documents of that range are
-put in order. So a source that holds a third of all rows is never sorted or gathered.
+That order is by a hash of id and text. Documents fall into 4096 hash ranges per source; sums of
+the ranges tell in which one the fraction ends, and only the documents of that range are put in
+order, rows that repeat id and text being counted, not listed. So neither a source that holds a
+third of all rows nor a row that does is ever sorted or gathered.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.native import text_of, word_count
-from talkloom.llm.stores import free_name, sent_if_small
+from talkloom.llm.stores import sent_if_small
 from talkloom.plans.numbering import number_rows
 from talkloom.sources.scratch import written
 
@@ -27,10 +28,18 @@ SEED = "mix"
 MOST_SENT = 100_000
 
 
-def _place(doc_id: Column, seed: str) -> Column:
-    """48 bits that order the documents of a source; the top 12 are the hash range."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+def _measured(doc_id: str, source: str, text: str, seed: str) -> Column:
+    """Id, source, size in words, and 48 bits that order the documents of a source; the top 12 are the hash range."""
+    key, words = F.col(doc_id).cast("long"), text_of(text)
+    digest = F.md5(
+        F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(words.cast("binary"))).cast("binary")
+    )
+    return F.struct(
+        key.alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        word_count(words).alias("size"),
+        F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").alias("place"),
+    )
 
 
 def water_level(sources: DataFrame) -> tuple[float, int]:
@@ -70,32 +79,33 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     )
 
 
-def planned_copies(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``sizes`` (doc_id, source, size) with source_size, target and copies of each row.
+def _ends(sizes: DataFrame, max_epochs: int) -> tuple[DataFrame, DataFrame]:
+    """Per source its plan, and the places of the hash range in which its fraction ends.
 
-    ``sizes`` is read several times: give a stored table. Rows that repeat an id in one
-    source get the same number of copies. Empty documents count nothing either way.
+    ``sizes`` has doc_id, source, size and place. A plan is source, source_size, target, whole, rest
+    and end_range. A place is (source, place, doc_id, size) with its number of rows and
+    how many of them are taken once more.
     """
     targets = source_targets(sizes, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plans = targets.withColumn("whole", F.least(whole.cast("long"), F.lit(max_epochs))).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    placed = sizes.withColumn("place", _place(F.col("doc_id"), seed)).withColumn("range", F.shiftright("place", 36))
-    sums = placed.groupBy("source", "range").agg(F.sum("size").alias("size"))
+    ranged = sizes.withColumn("range", F.shiftright("place", 36))
+    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     running = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     s, p = running.alias("s"), plans.alias("p")
-    ends = (
+    last = (
         s.join(p, F.col("s.source").eqNullSafe(F.col("p.source")))
         .where(F.col("s.before") < F.col("p.rest"))
         .groupBy("p.source")
         .agg(F.max(F.struct("s.range", "s.before")).alias("end"))
     )
-    e = ends.alias("e")
+    e = last.alias("e")
     ready = written(
         p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left").select(
-            F.col("p.source").alias("_source"),
+            F.col("p.source").alias("plan_source"),
             "p.source_size",
             "p.target",
             "p.whole",
@@ -105,17 +115,63 @@ def planned_copies(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = S
         ),
         "mix-plan",
     )
-    rows = placed.join(sent_if_small(ready, MOST_SENT), placed["source"].eqNullSafe(ready["_source"])).drop("_source")
-    # Only the range in which the fraction ends needs an order; equal places share their sum.
-    last = rows.where(F.col("range") == F.col("end_range"))
-    order = Window.partitionBy("source", "range").orderBy("place", "doc_id")
-    upto = F.col("end_before") + F.sum("size").over(order)
-    picked = last.withColumn("more", (F.lit(2) * upto - F.col("size") <= F.lit(2) * F.col("rest")) & (F.col("rest") > 0))
-    others = rows.where("end_range is null or range <> end_range").withColumn(
-        "more", F.coalesce(F.col("range") < F.col("end_range"), F.lit(False))
+    here = ranged.join(
+        sent_if_small(ready.where("end_range is not null"), MOST_SENT),
+        ranged["source"].eqNullSafe(ready["plan_source"]) & (F.col("range") == F.col("end_range")),
+    )
+    places = here.groupBy("source", "place", "doc_id", "size", "rest", "end_before").agg(F.count("*").alias("rows"))
+    order = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("end_before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0))
+
+    def fits(k: Column) -> Column:
+        """Whether at least half of the k-th row is before the end of the fraction."""
+        return F.lit(2) * (F.col("start") + k * F.col("size")) - F.col("size") <= F.lit(2) * F.col("rest")
+
+    rough = F.floor((F.lit(2) * F.col("rest") + F.col("size") - F.lit(2) * F.col("start")) / (F.lit(2) * F.col("size"))).cast("long")
+    near = F.when(fits(rough + 1), rough + 1).when(fits(rough), rough).otherwise(rough - 1)
+    more = F.when(F.col("size") > 0, F.greatest(F.lit(0).cast("long"), F.least(F.col("rows"), near))).otherwise(
+        F.when(F.col("start") <= F.col("rest"), F.col("rows")).otherwise(F.lit(0).cast("long"))
+    )
+    counted = places.withColumn("start", start).select(
+        F.col("source").alias("at_source"), F.col("place").alias("at_place"), F.col("doc_id").alias("at_id"), F.col("size").alias("at_size"), "rows", more.alias("more")
+    )
+    return ready, written(counted, "mix-places")
+
+
+def planned_copies(rows: DataFrame, at: str, sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``rows`` with ``plan_target``, ``plan_size`` of the source, and ``plan_copies`` of each row.
+
+    ``at`` is the struct column of ``_measured``; ``sizes`` has its fields as a stored table. Of rows
+    that repeat id, text and source, as many are taken once more as the fraction asks for.
+    """
+    ready, places = _ends(sizes, max_epochs)
+    planned = rows.join(sent_if_small(ready, MOST_SENT), F.col(f"{at}.source").eqNullSafe(ready["plan_source"]))
+    own = F.shiftright(F.col(f"{at}.place"), 36)
+    others = planned.where("end_range is null").withColumn("_more", F.lit(False)).unionByName(
+        planned.where(own != F.col("end_range")).withColumn("_more", own < F.col("end_range"))
+    )
+    last = planned.where(own == F.col("end_range")).join(
+        sent_if_small(places, MOST_SENT),
+        F.col(f"{at}.source").eqNullSafe(places["at_source"])
+        & (F.col(f"{at}.place") == places["at_place"])
+        & F.col(f"{at}.doc_id").eqNullSafe(places["at_id"])
+        & (F.col(f"{at}.size") == places["at_size"]),
     )
-    return picked.unionByName(others).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more").cast("long")).alias("copies")
+    decided = last.where("more = 0 or more = rows").withColumn("_more", F.col("more") > 0)
+    drop = ["at_source", "at_place", "at_id", "at_size", "rows", "more"]
+    found = others.unionByName(decided.drop(*drop))
+    if not places.where("more > 0 and more < rows").isEmpty():
+        # One place a source at most: its rows are numbered, as many tasks as it takes.
+        split = written(last.where("more > 0 and more < rows").withColumn("_row", F.monotonically_increasing_id()), "mix-split")
+        numbered = number_rows(split, [F.col("at_source").isNull(), "at_source", "_row"], "_number")
+        first = numbered.groupBy(F.col("at_source").alias("_of")).agg(F.min("_number").alias("_first"))
+        placed = numbered.join(F.broadcast(first), F.col("at_source").eqNullSafe(F.col("_of")))
+        found = found.unionByName(placed.withColumn("_more", F.col("_number") - F.col("_first") < F.col("more")).drop(*drop, "_row", "_number", "_of", "_first"))
+    return found.select(
+        *rows.columns,
+        F.col("source_size").alias("plan_size"),
+        F.col("target").alias("plan_target"),
+        (F.col("whole") + F.col("_more").cast("long")).alias("plan_copies"),
     )
 
 
@@ -130,37 +186,25 @@ def mix(
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies.
 
     Size is the number of words, 0 for null. ``taken`` is size times copies, at most
-    ``max_epochs`` times the size. A null source is a source of its own, last in order;
-    null ids are one id. Other columns are not read. The same rows and seed give the
-    same mix under any partitioning. Without rows or words nothing is taken.
+    ``max_epochs`` times the size. A null source is a source of its own, last in order.
+    Rows, not ids, are taken: rows that share an id, or have none, are apart. The same
+    rows and seed give the same mix under any partitioning; among rows that repeat id, text
+    and source it is open which are taken once more, but not how many. Other columns are
+    not read. Without rows or words nothing is taken.
     """
-    sizes = written(
-        docs.select(
-            F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text_of(text)).alias("size")
-        ),
-        "mix-sizes",
-    )
-    return planned_copies(sizes, max_epochs, seed).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
-    )
+    sizes = written(docs.select(_measured(doc_id, source, text, seed).alias("at")).select("at.*"), "mix-sizes")
+    rows = sizes.select(F.struct("doc_id", "source", "size", "place").alias("at"))
+    return planned_copies(rows, "at", sizes, max_epochs).select(
+        "at.doc_id", "at.size", F.col("plan_size").alias("source_size"), F.col("plan_target").alias("target"),
+        (F.col("at.size") * F.col("plan_copies")).alias("taken"), F.col("plan_copies").alias("copies"),
+    )
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The rows that the mix takes, each as often as it is taken, with the columns of ``docs``.
-
-    An id that occurs in rows of one source gets its largest number of copies in all of them.
-    """
-    sizes = written(
-        docs.select(
-            F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text_of(text)).alias("size")
-        ),
-        "mix-sizes",
-    )
-    plan = planned_copies(sizes, max_epochs, seed).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    id_name, source_name, copies, number = (free_name(docs.columns, n) for n in ("_id", "_source", "_copies", "_number"))
-    counts = written(plan.where("copies > 0").toDF(id_name, source_name, copies), "mix-copies")
-    joined = docs.join(
-        sent_if_small(counts, 1_000_000),
-        docs[doc_id].cast("long").eqNullSafe(counts[id_name]) & docs[source].cast("string").eqNullSafe(counts[source_name]),
-    )
-    return joined.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows that the mix takes, each as often as it is taken, with the columns of ``docs``."""
+    sizes = written(docs.select(_measured(doc_id, source, text, seed).alias("at")).select("at.*"), "mix-sizes")
+    # The columns of the input go along as one, so that their names meet no others.
+    rows = docs.select(_measured(doc_id, source, text, seed).alias("at"), F.struct(*[docs[c] for c in docs.columns]).alias("own"))
+    taken = planned_copies(rows, "at", sizes, max_epochs).where("plan_copies > 0")
+    each = taken.withColumn("_number", F.explode(F.sequence(F.lit(1), F.col("plan_copies").cast("int"))))
+    return each.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])

@@ -244,7 +244,7 @@ FROM f LEFT JOIN wide ON wide.lang IS NOT DISTINCT FROM f.lang AND wide.source I
 _MIX = rf"""
 WITH d AS (
   SELECT doc_id, source, len({_WORDS.format(text="coalesce(text, '')")})::BIGINT AS size,
-    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS place
+    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS place
   FROM documents
 ),
 s AS (
@@ -269,7 +269,7 @@ cut AS (
 ),
 placed AS (
   SELECT d.doc_id, d.size, source_size, target, whole, target - whole * source_size AS rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id) AS upto
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
 )
 SELECT doc_id, size, source_size, target,

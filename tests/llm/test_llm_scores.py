@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,6 +138,30 @@ def test_mix_reaches_targets(spark):
     assert mixing.mix(docs.where("doc_id < 0")).count() == 0 and mixing.mixed_rows(docs.where("doc_id < 0")).count() == 0
 
 
+def test_rows_that_share_an_id_meet_the_target(spark):
+    """Null, repeated and wholly repeated rows are taken one by one."""
+    rows = [(None, " ".join(["w"] * 10) + f" {k}", None, "a") for k in range(300)]
+    rows += [(7, " ".join(["w"] * 9), None, "b") for _ in range(400)]
+    rows += [(None, "x y z", None, None) for _ in range(500)] + [(k, "u v", None, "c") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("at", F.lit(1)).withColumn("own", F.lit(2))
+    taken, targets = Counter(), {}
+    largest = {"a": 11, "b": 9, "c": 2, None: 3}
+    found = mixing.mix(docs).collect()
+    for r in found:
+        source = {3300: "a", 3600: "b", 600: "c", 1500: None}[r.source_size]
+        taken[source] += r.taken
+        targets[source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert len(found) == len(rows) and all(abs(taken[s] - targets[s]) <= largest[s] for s in targets) and len(targets) == 4
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.columns == docs.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(r.text.split())
+    assert words == taken
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, found))
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.com/x?y"), (2, "https://www.example.com/en/1"), (3, "https://m.example.com/en/1"), (4, "http://x.net/es/"), (5, "http://x.net/es"),
             (6, "no scheme"), (7, None), (8, "http://notcom/"), (9, "http://example.com"), (9, "http://spam-farm.example.org/es/1"), (10, "a://b.com:80/")]
