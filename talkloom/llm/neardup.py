@@ -67,8 +67,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             signatures.append(permutations.signature(own).tobytes() if len(own) else None)
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-            ["doc_id", "n_shingles", "digest", "signature"],
+            [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
+            ["doc_id", "mark", "n_shingles", "digest", "signature"],
         )
 
 
@@ -137,9 +137,26 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of each row; the last two are null for an empty set."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_sets, "doc_id long, n_shingles long, digest binary, signature binary")
+    """(doc_id, mark, n_shingles, digest, signature) of each row; the last two are null for an empty set.
+
+    The mark is a hash of the text: with it a row is found again even if it shares its id, or has none.
+    """
+    return _marked(docs, doc_id, text).mapInArrow(_sets, "doc_id long, mark long, n_shingles long, digest binary, signature binary")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    content = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(content).alias("mark"), content.alias("text"))
+
+
+def _same_row(rows: DataFrame, wanted: DataFrame) -> Column:
+    return rows["doc_id"].eqNullSafe(wanted["rep"]) & (rows["mark"] == wanted["rep_mark"])
+
+
+def _once(rows: DataFrame, *columns: str) -> DataFrame:
+    """(cls, columns) once for each class; only classes whose row is repeated are grouped."""
+    repeated = rows.where("rep_rows > 1").groupBy("cls").agg(*[F.any_value(c).alias(c) for c in columns])
+    return rows.where("rep_rows = 1").select("cls", *columns).unionByName(repeated)
 
 
 def near_duplicate_groups(
@@ -156,23 +173,20 @@ def near_duplicate_groups(
     columns are not read. An empty table gives no rows.
     """
     sets = written(shingle_sets(docs, doc_id, text), "neardup-sets")
-    # The text classes, each with a number that is stored before it is used.
+    # The text classes, each with a number that is stored before it is used, and the row that stands
+    # for it: lowest id, null last.
+    alike = sets.where("n_shingles > 0").groupBy("digest", "doc_id", "mark").agg(F.count("*").alias("n"))
+    lowest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "n"))
     classes = written(
-        sets.where("n_shingles > 0")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        alike.groupBy("digest")
+        .agg(lowest.alias("row"), F.sum("n").alias("copies"))
+        .select("digest", F.col("row.doc_id").alias("rep"), F.col("row.mark").alias("rep_mark"), F.col("row.n").alias("rep_rows"), "copies")
         .withColumn("cls", F.monotonically_increasing_id()),
         "neardup-classes",
     )
-    nodes = written(
-        sets.alias("s")
-        .join(
-            sent_if_small(classes, MOST_SENT).alias("c"),
-            (F.col("s.digest") == F.col("c.digest")) & F.col("s.doc_id").eqNullSafe(F.col("c.rep")),
-        )
-        .select("c.cls", F.col("s.signature").alias("data")),
-        "neardup-nodes",
-    )
+    known = sent_if_small(classes.withColumnRenamed("digest", "_digest"), MOST_SENT)
+    standing = sets.join(known, (sets["digest"] == known["_digest"]) & _same_row(sets, known))
+    nodes = written(_once(standing, "signature").withColumnRenamed("signature", "data"), "neardup-nodes")
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     banded = nodes.select("cls", "data", band.alias("band")).select(
         "cls",
@@ -343,11 +357,8 @@ def _leader_pairs(members: DataFrame) -> DataFrame:
 def _wanted_sets(docs: DataFrame, doc_id: str, text: str, named: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, data): the full shingle sets of the classes ``named`` (cls), from the texts."""
     wanted = written(classes.join(sent_if_small(written(named, "neardup-named"), MOST_SENT), "cls"), "neardup-wanted")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = rows.join(
-        sent_if_small(wanted, MOST_SENT), rows["doc_id"].eqNullSafe(wanted["rep"])
-    ).select("cls", "digest", "text")
-    # Repeats of one row give one set twice; links are made distinct again by the components.
+    rows = _marked(docs, doc_id, text)
+    texts = _once(rows.join(sent_if_small(wanted, MOST_SENT), _same_row(rows, wanted)), "digest", "text")
     return written(texts.mapInArrow(_full_sets, "cls long, data binary"), "neardup-full")
 
 

@@ -89,6 +89,35 @@ def test_empty_and_clashing_columns(spark, docs_of):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1]
 
 
+def test_rows_without_an_id_are_shingled_once_each(spark, docs_of, tmp_path, monkeypatch):
+    """Many near copies with null ids, and one text many times: texts read again for the exact check stay few."""
+    rand = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        words[rand.randrange(60)] = f"x{k}"
+        texts.append(" ".join(words))
+    rows = [(None, t) for t in texts] + [(None, texts[0])] * 300 + [(5, texts[1])] * 300 + [(None, "quite another text of some words")]
+    log = tmp_path / "log"
+    plain = neardup._full_sets
+
+    def counted(batches):
+        def logged():
+            for batch in batches:
+                with open(log, "a") as out:
+                    out.write(f"{batch.num_rows}\n")
+                yield batch
+
+        yield from plain(logged())
+
+    monkeypatch.setattr(neardup, "_full_sets", counted)
+    found = neardup.near_duplicate_groups(docs_of(rows)).collect()
+    groups = {(r.component_id, r.kept) for r in found if r.n_shingles == 56}
+    assert len(found) == len(rows) and groups == {(5, True), (5, False)}
+    assert sum(map(int, log.read_text().split())) <= 2 * 401
+
+
 def test_one_of_repeated_rows_stays(docs_of):
     rows = docs_of([(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z"), (3, None), (3, None)])
     assert sorted(r.doc_id for r in neardup.without_near_duplicates(rows).collect()) == [1, 2, 3, 3]
