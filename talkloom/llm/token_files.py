@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.stores import committed, filesystem
+from talkloom.llm.stores import committed, filesystem, sent_if_small
 from talkloom.llm.text import mix, text_bytes
 from talkloom.sources.scratch import written
 
@@ -35,6 +35,8 @@ BUCKET_KEYS = 50_000
 LEVELS = 48
 #: Room for keys in a level, as a multiple of the keys that reach it.
 ROOM = 2
+#: Index files that one look-up task loads, and bytes of ids that one task reads, where there are many.
+BUCKETS_A_TASK, TASK_BYTES = 16, 64 << 20
 _CHUNKS_KEPT, _PARTS_KEPT = 300_000, 500_000
 
 
@@ -225,60 +227,100 @@ def _fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix(keys ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
 
 
-@dataclass
+#: One rank is kept for so many bits; a look-up counts the bits of one block.
+_BLOCK_BITS = 512
+_SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<i8"), ("length", "<i8")])
+_HEAD = np.dtype([("levels", "<u4"), ("blocks", "<u4"), ("slots", "<u4"), ("names", "<u4"), ("width", "<u4")])
+
+
+class Section:
+    """Numbers of one kind in a file, read by their places: a few bytes for each."""
+
+    def __init__(self, source, start: int, count: int, kind):
+        self.source, self.start, self.count, self.kind = source, start, count, np.dtype(kind)
+        self.end = start + count * self.kind.itemsize
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        out = np.empty(len(places), self.kind)
+        for k, place in enumerate(places.tolist()):
+            out[k] = self.range(place, 1)[0]
+        return out
+
+    def range(self, place: int, count: int) -> np.ndarray:
+        self.source.seek(self.start + place * self.kind.itemsize)
+        return np.frombuffer(self.source.read(count * self.kind.itemsize), self.kind)
+
+
 class BucketIndex:
-    """One index file: where each key's ids are."""
+    """One index file: where each key's ids are.
 
-    levels: list[np.ndarray]
-    fingerprints: np.ndarray
-    shards: np.ndarray
-    shard_names: np.ndarray
-    offsets: np.ndarray
-    lengths: np.ndarray
+    The file holds its sizes, the places of each level, the levels' bits in blocks of 512, for each block the
+    number of bits before it, a record for each slot, and the shard names. A look-up reads,
+    for each level it comes to, one block and one rank, and then one record: as much
+    for a large bucket as for a small one. Levels are passed with the same chance
+    each, so two are read on average.
+    """
 
-    @classmethod
-    def build(cls, keys, shards, offsets, lengths) -> BucketIndex:
+    def __init__(self, source, whole: bool):
+        """``source`` is an open file; ``whole`` reads it at once, for many look-ups."""
+        if whole:
+            source = io.BytesIO(source.read())
+        head = Section(source, 0, 1, _HEAD).range(0, 1)[0]
+        rooms = Section(source, _HEAD.itemsize, int(head["levels"]), "<i8")
+        self.rooms = rooms.range(0, rooms.count)
+        self.words = Section(source, rooms.end, int(head["blocks"]) * (_BLOCK_BITS // 64), "<u8")
+        self.ranks = Section(source, self.words.end, int(head["blocks"]), "<u4")
+        self.slots = Section(source, self.ranks.end, int(head["slots"]), _SLOT)
+        self.names = Section(source, self.slots.end, int(head["names"]), f"S{head['width']}")
+        self.first_blocks = np.concatenate([[0], np.cumsum(-(-self.rooms // _BLOCK_BITS))]).astype(np.int64)
+        if whole:
+            self.words, self.ranks, self.slots, self.names = (x.range(0, x.count) for x in (self.words, self.ranks, self.slots, self.names))
+
+    @staticmethod
+    def build(keys, shards, offsets, lengths) -> bytes:
+        """The bytes of an index file."""
         levels, slots = minimal_hash(keys)
         names, codes = np.unique(np.asarray(shards, "U"), return_inverse=True)
-        order = np.argsort(slots)
-        return cls(levels, _fingerprints(keys)[order], codes[order].astype(np.int32), names, np.asarray(offsets)[order], np.asarray(lengths)[order])
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 for a key that the fingerprints do not know."""
-        slots, before, left = np.full(len(keys), -1, np.int64), 0, np.arange(len(keys))
-        for level, alone in enumerate(self.levels):
-            place = _place(keys[left], level, len(alone))
-            here, rank = alone[place], np.cumsum(alone)
-            slots[left[here]] = before + rank[place[here]] - 1
-            before += int(rank[-1])
+        records = np.empty(len(keys), _SLOT)
+        records["fingerprint"][slots], records["shard"][slots] = _fingerprints(keys), codes
+        records["offset"][slots], records["length"][slots] = offsets, lengths
+        bits = np.concatenate([np.zeros(0, bool), *(np.pad(x, (0, -len(x) % _BLOCK_BITS)) for x in levels)])
+        ones = bits.reshape(-1, _BLOCK_BITS).sum(axis=1)
+        ranks = np.concatenate([[0], np.cumsum(ones)[:-1]]) if len(ones) else ones
+        text = np.array([n.encode() for n in names.tolist()] or [b"-"])
+        head = np.array([(len(levels), len(ones), len(keys), len(text), text.itemsize)], _HEAD)
+        rooms = np.array([len(x) for x in levels], "<i8")
+        words = np.packbits(bits, bitorder="little").tobytes()
+        return b"".join([head.tobytes(), rooms.tobytes(), words, ranks.astype("<u4").tobytes(), records.tobytes(), text.tobytes()])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``keys`` of those that the fingerprints know, and their records."""
+        slots, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for level, room in enumerate(self.rooms.tolist()):
+            if not len(left):
+                break
+            bit = _place(keys[left], level, room) + self.first_blocks[level] * _BLOCK_BITS
+            here = (self.words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+            slots[left[here]] = self._rank(bit[here])
             left = left[~here]
-        known = slots >= 0
-        known[known] = self.fingerprints[slots[known]] == _fingerprints(keys[known])
-        return np.where(known, slots, -1)
-
-    def save(self, uri: str) -> None:
-        body = io.BytesIO()
-        levels = {f"level{k}": np.packbits(bits) for k, bits in enumerate(self.levels)}
-        np.savez(
-            body,
-            rooms=np.array([len(bits) for bits in self.levels]),
-            fingerprints=self.fingerprints,
-            shards=self.shards,
-            shard_names=self.shard_names,
-            offsets=self.offsets,
-            lengths=self.lengths,
-            **levels,
-        )
-        with committed(uri) as out:
-            out.write(body.getvalue())
-
-    @classmethod
-    def load(cls, uri: str) -> BucketIndex:
-        system, path = filesystem(uri)
-        with system.open_input_file(path) as source:
-            data = np.load(io.BytesIO(source.read()), allow_pickle=False)
-        levels = [np.unpackbits(data[f"level{k}"], count=int(room)).astype(bool) for k, room in enumerate(data["rooms"])]
-        return cls(levels, *(data[n] for n in ("fingerprints", "shards", "shard_names", "offsets", "lengths")))
+        places = np.flatnonzero(slots >= 0)
+        records = self.slots[slots[places]]
+        same = records["fingerprint"] == _fingerprints(keys[places])
+        return places[same], records[same]
+
+    def shards(self, records: np.ndarray) -> list[str]:
+        """The shard name of each record."""
+        return [name.decode() for name in self.names[records["shard"].astype(np.int64)].tolist()]
+
+    def _rank(self, bits: np.ndarray) -> np.ndarray:
+        """The number of bits set before each of ``bits``."""
+        block, word = bits // _BLOCK_BITS, (bits % _BLOCK_BITS) >> 6
+        out = self.ranks[block].astype(np.int64)
+        for k in range(_BLOCK_BITS // 64):
+            value = self.words[block * (_BLOCK_BITS // 64) + k]
+            mask = np.where(word > k, np.uint64(2**64 - 1), np.where(word == k, (np.uint64(1) << (bits & 63).astype(np.uint64)) - np.uint64(1), np.uint64(0)))
+            out += np.bitwise_count(value & mask)
+        return out
 
 
 @dataclass
@@ -307,24 +349,27 @@ class TokenFiles:
                 for bucket in np.unique(buckets):
                     rows = np.flatnonzero(buckets == bucket)
                     if loaded != bucket:
-                        index, loaded = BucketIndex.load(f"{folder}/index-{bucket:06d}.mph"), bucket
-                    slots = index.find(hashed[rows])
-                    rows, slots = rows[slots >= 0], slots[slots >= 0]
-                    kept = batch.select(["doc_id", "copy"]).take(pa.array(rows))
+                        system, path = filesystem(f"{folder}/index-{bucket:06d}.mph")
+                        with system.open_input_file(path) as source:
+                            index, loaded = BucketIndex(source, whole=True), bucket
+                    known, records = index.find(hashed[rows])
+                    kept = batch.select(["doc_id", "copy"]).take(pa.array(rows[known]))
                     yield pa.record_batch(
                         [
                             *kept.columns,
-                            pa.array(index.shard_names[index.shards[slots]].tolist(), pa.string()),
-                            pa.array(index.offsets[slots], pa.int64()),
-                            pa.array(index.lengths[slots], pa.int64()),
+                            pa.array(index.shards(records), pa.string()),
+                            pa.array(records["offset"].astype(np.int64)),
+                            pa.array(records["length"].astype(np.int64)),
                         ],
                         ["doc_id", "copy", "shard", "offset", "n_tokens"],
                     )
 
-        near = keys.select("doc_id", "copy", "key", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+        # As many tasks as there are cores or, at some buckets each, more; a stated number is kept.
+        tasks = max(1, min(self.buckets, max(self.spark.sparkContext.defaultParallelism, self.buckets // BUCKETS_A_TASK)))
+        near = keys.select("doc_id", "copy", "key", "bucket").repartition(tasks, "bucket").sortWithinPartitions("bucket")
         found = near.mapInArrow(look_up, "doc_id long, copy long, shard string, offset long, n_tokens long")
         ids_before = (F.col("offset") / np.dtype(self.kind).itemsize).cast("long")
-        return found.join(F.broadcast(self.shards), "shard").select(*found.columns, (F.col("shard_start") + ids_before).alias("start"))
+        return found.join(sent_if_small(self.shards, 1_000_000), "shard").select(*found.columns, (F.col("shard_start") + ids_before).alias("start"))
 
     def read(self, located: DataFrame, make=None, schema: str = "ids array<long>") -> DataFrame:
         """``located`` with ``make(ids)`` of each document, by default the ids themselves.
@@ -352,7 +397,9 @@ class TokenFiles:
             if source:
                 source.close()
 
-        ordered = located.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+        size = (self.entries.agg(F.sum("n_tokens")).first()[0] or 0) * kind.itemsize
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+        ordered = located.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in located.schema.fields)
         name, _, value_kind = schema.partition(" ")
         return ordered.mapInArrow(fetch, f"{kinds}, _value {value_kind}").withColumnRenamed("_value", name)
@@ -363,15 +410,18 @@ class TokenFiles:
             return None
         hashed = key_hash(np.array([doc_id or 0]), np.array([copy]), np.array([doc_id is None]))
         bucket = int(hashed.view(np.int64)[0] % self.buckets)
-        index = BucketIndex.load(f"{self.folder}/index-{bucket:06d}.mph")
-        slot = int(index.find(hashed)[0])
-        if slot < 0:
+        system, path = filesystem(f"{self.folder}/index-{bucket:06d}.mph")
+        with system.open_input_file(path) as source:
+            index = BucketIndex(source, whole=False)
+            known, records = index.find(hashed)
+            shards = index.shards(records)
+        if not len(known):
             return None
-        system, path = filesystem(f"{self.folder}/ids-{index.shard_names[index.shards[slot]]}.bin")
+        system, path = filesystem(f"{self.folder}/ids-{shards[0]}.bin")
         width = np.dtype(self.kind).itemsize
         with system.open_input_file(path) as source:
-            source.seek(int(index.offsets[slot]))
-            return np.frombuffer(source.read(int(index.lengths[slot]) * width), self.kind).tolist()
+            source.seek(int(records["offset"][0]))
+            return np.frombuffer(source.read(int(records["length"][0]) * width), self.kind).tolist()
 
 
 def write_tokens(
@@ -416,7 +466,8 @@ def write_tokens(
         bucket = key[0].as_py()
         hashed = table.column("key").to_numpy().view(np.uint64)
         columns = (table.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "offset", "n_tokens"))
-        BucketIndex.build(hashed, *columns).save(f"{folder}/index-{bucket:06d}.mph")
+        with committed(f"{folder}/index-{bucket:06d}.mph") as out:
+            out.write(BucketIndex.build(hashed, *columns))
         return pa.table({"bucket": [bucket], "keys": [len(hashed)]})
 
     written(

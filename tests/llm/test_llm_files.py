@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import random
 import zlib
 
@@ -45,6 +46,41 @@ def test_keyed_access(spark, docs_of, folder):
     assert files.get(5, 2) is None and files.get(10**9) is None
 
 
+class CountedFile:
+    """A file that counts the bytes read."""
+
+    def __init__(self, data):
+        self.body, self.read_bytes = io.BytesIO(data), 0
+
+    def seek(self, place):
+        self.body.seek(place)
+
+    def read(self, size=-1):
+        data = self.body.read(size)
+        self.read_bytes += len(data)
+        return data
+
+
+def test_look_ups_read_as_little_of_a_large_index_as_of_a_small_one():
+    most = []
+    for count in (100, 50_000):
+        keys = np.unique(np.random.default_rng(count).integers(0, 2**63, count).astype(np.uint64))
+        data = token_files.BucketIndex.build(keys, ["s%d" % (k % 3) for k in range(len(keys))], np.arange(len(keys)) * 8, np.arange(len(keys)) % 9)
+        whole = token_files.BucketIndex(io.BytesIO(data), whole=True)
+        places, records = whole.find(keys)
+        assert places.tolist() == list(range(len(keys))) and records["offset"].tolist() == [8 * k for k in range(len(keys))]
+        assert whole.shards(records[:4]) == ["s0", "s1", "s2", "s0"]
+        assert len(whole.find(keys + np.uint64(1))[0]) <= 2
+        reads = []
+        for key in keys[:: len(keys) // 50]:
+            source = CountedFile(data)
+            found = token_files.BucketIndex(source, whole=False).find(np.array([key]))[1]
+            assert found["offset"].tolist() == [8 * int(np.searchsorted(keys, key))]
+            reads.append(source.read_bytes)
+        most.append(max(reads))
+    assert most[1] < 3 * most[0] < 4000 and len(data) > 1_000_000
+
+
 def test_tokens_of_an_empty_table(docs_of, folder):
     files = token_files.write_tokens(docs_of([(1, "a")]).where("doc_id > 1"), folder("none"), tokenizer_path())
     assert files.get(1) is None and files.entries.count() == 0
