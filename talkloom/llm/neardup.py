@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.components import components
 from talkloom.llm.stores import free_name, sent_if_small
-from talkloom.llm.text import MinHash, WordHashes, lower_words, shingle_hashes, text_bytes
+from talkloom.llm.text import MinHash, WordHashes, lower_words, shingle_hashes, sparing, text_bytes
 from talkloom.sources.scratch import written
 
 PERCENT = 75
@@ -141,7 +141,7 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     The mark is a hash of the text: with it a row is found again even if it shares its id, or has none.
     """
-    return _marked(docs, doc_id, text).mapInArrow(_sets, "doc_id long, mark long, n_shingles long, digest binary, signature binary")
+    return _marked(docs, doc_id, text).mapInArrow(sparing(_sets), "doc_id long, mark long, n_shingles long, digest binary, signature binary")
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -359,7 +359,7 @@ def _wanted_sets(docs: DataFrame, doc_id: str, text: str, named: DataFrame, clas
     wanted = written(classes.join(sent_if_small(written(named, "neardup-named"), MOST_SENT), "cls"), "neardup-wanted")
     rows = _marked(docs, doc_id, text)
     texts = _once(rows.join(sent_if_small(wanted, MOST_SENT), _same_row(rows, wanted)), "digest", "text")
-    return written(texts.mapInArrow(_full_sets, "cls long, data binary"), "neardup-full")
+    return written(texts.mapInArrow(sparing(_full_sets), "cls long, data binary"), "neardup-full")
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:

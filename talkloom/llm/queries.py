@@ -191,7 +191,7 @@ FROM d JOIN low USING (doc_id)
 """
 
 _MEASURE_SQL = {
-    name: f"least(CASE WHEN {of} > 0 THEN {part} * 1000 // {of} ELSE 0 END, {rules.HIGHEST})"
+    name: f"CASE WHEN {of} > 0 THEN {part} * 1000 // {of} ELSE 0 END"
     for name, (part, of, _) in rules.MEASURES.items()
 }
 

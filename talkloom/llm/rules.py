@@ -30,8 +30,6 @@ MEASURES = {
     "repeats": ("n_repeat_words", "n_words", 200),
     "word_length": ("word_chars", "n_words", 3000),
 }
-#: Where the SQL this is checked with cuts every measure. Here none is cut, so the two may differ where a fence lies this high.
-HIGHEST = 50_000
 #: A row of fences is about 60 bytes.
 MOST_SENT = 200_000
 

@@ -6,7 +6,8 @@ cuts at space and U+0009 to U+000D only, which is the word rule ``[^\\x20\\x09-\
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,5 +80,26 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory that is no longer used back to the system.
+
+    Spark keeps Python workers for later tasks and stages; what Arrow and the C library hold
+    in reserve for each of them would add up.
+    """
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        for batch in run(batches):
+            yield batch
+            del batch
+            pool.release_unused()
+        pool.release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return spared
+
+
 def lower_words(text: bytes) -> list[bytes]:
     return text.lower().split()

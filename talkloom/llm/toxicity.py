@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.labels import one_label, remainder
 from talkloom.llm.stores import sent_if_small
-from talkloom.llm.text import text_bytes
+from talkloom.llm.text import sparing, text_bytes
 from talkloom.sources.scratch import written
 
 DIVISOR, HELD_OUT = 3, 1
@@ -56,7 +56,7 @@ MOST_SENT = 3_000_000
 #: Bits of the filter for rows that are not sent: 32 MB.
 FILTER_BITS = 1 << 28
 _HELD_WORDS = 200_000
-_HELD_COUNTS = 300_000
+_HELD_COUNTS = 150_000
 _LONG = 1 << 20
 _WORD = re.compile(rb"[a-z0-9'\x80-\xff]+")
 
@@ -265,7 +265,7 @@ class Scorer:
     """The models of ``learnt`` (text, label), ready to give the evidence of texts."""
 
     def __init__(self, learnt: DataFrame):
-        counted = learnt.select("text", "label").mapInArrow(_word_counts, WORDS)
+        counted = learnt.select("text", "label").mapInArrow(sparing(_word_counts), WORDS)
         words = written(
             counted.groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-words"
         )
@@ -310,7 +310,7 @@ class Scorer:
 
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
         schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", evidence array<double>"
-        return (rows if self.rest is None else self._joined(rows, model)).mapInArrow(scored, schema)
+        return (rows if self.rest is None else self._joined(rows, model)).mapInArrow(sparing(scored), schema)
 
     def _joined(self, rows: DataFrame, model) -> DataFrame:
         """``rows`` with the rows of the rest of the table that each text needs."""
