@@ -12,6 +12,9 @@ from talkloom.functions.strings import allowed_value
 from talkloom.functions.tools import SYSTEM_CONTENT
 from talkloom.operators import chat as H
 from talkloom.operators import route as N
+from talkloom.operators.registry import match_registry
+from talkloom.operators.shared_history import expanded_histories, shared_histories
+from talkloom.plans.numbering import number_rows
 from talkloom.sources.scratch import scratch_path, small_table
 from talkloom.streaming import replies as ST
 
@@ -32,6 +35,15 @@ def i1_match_tools(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", F.array_join(places, ",").alias("tools"))
 
 
+def i1_match_registry(spark, sf_dir):
+    """All words of the benchmark as tool names, sought at once."""
+    words = I.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name"))
+    registry = number_rows(words.where("length(name) >= 4").distinct(), ["name"], "ord")
+    found = match_registry(_replies(spark, sf_dir), registry, "text", "found")
+    places = F.transform("found", lambda m: F.concat_ws("@", m["name"], m["at"].cast("string")))
+    return found.select("conv_id", "turn", F.array_join(places, ",").alias("tools"))
+
+
 def i2_route(spark, sf_dir):
     return _replies(spark, sf_dir).select(
         "conv_id", "turn", N.route(F.col("text"), NAMES).alias("tool")
@@ -133,6 +145,14 @@ def h2_history_latest(spark, sf_dir):
     return _history(I.pairs(spark, sf_dir), max_pairs=2, segment=3)
 
 
+def h2_history_shared(spark, sf_dir):
+    """Pairs stored once in short segments, every history put together from them."""
+    turns, segments = shared_histories(I.pairs(spark, sf_dir), length=3)
+    return expanded_histories(turns, segments, length=3).select(
+        "conv_id", "turn", F.size("history").cast("long").alias("n_pairs"), _history_text().alias("history")
+    )
+
+
 def h3_no_history(spark, sf_dir):
     return _history(I.pairs(spark, sf_dir), add_history=False)
 
@@ -187,6 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         i1_match_tools,
+        i1_match_registry,
         i2_route,
         i3_dispatch,
         i4_parse_call,
@@ -199,6 +220,7 @@ QUERIES = {
         h2_history,
         h2_history_segments,
         h2_history_latest,
+        h2_history_shared,
         h3_no_history,
         h4_seed_system,
         st1_latest_snapshot,
@@ -250,6 +272,17 @@ SELECT c.conv_id, c.turn, coalesce(m.tools, '') AS tools FROM conversations c LE
   SELECT conv_id, turn, string_agg(name || '@' || place, ',' ORDER BY place, ord) AS tools
   FROM matches GROUP BY conv_id, turn) m USING (conv_id, turn)
 WHERE c.role = 'assistant'""",
+    "i1_match_registry": """
+WITH names AS (
+  SELECT name, row_number() OVER (ORDER BY name) AS ord
+  FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE length(name) >= 4
+),
+replies AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+found AS (
+  SELECT conv_id, turn, string_agg(name || '@' || (instr(text, name) - 1), ',' ORDER BY instr(text, name), ord) AS tools
+  FROM replies JOIN names ON contains(text, name) GROUP BY conv_id, turn
+)
+SELECT conv_id, turn, coalesce(tools, '') AS tools FROM replies LEFT JOIN found USING (conv_id, turn)""",
     "i2_route": f"WITH {_MATCHES} SELECT conv_id, turn, tool FROM routed",
     "i3_dispatch": f"""
 WITH {_MATCHES}, registry(tool_name, kb_id) AS (VALUES {_KB})
@@ -280,6 +313,7 @@ FROM events""",
     "h1_pair_turns_segments": _PAIRS,
     "h2_history": _HISTORY,
     "h2_history_segments": _HISTORY,
+    "h2_history_shared": _HISTORY,
     "h2_history_latest": _HISTORY.replace("UNBOUNDED PRECEDING AND", "2 PRECEDING AND"),
     "h3_no_history": f"""
 WITH {PAIRS} SELECT conv_id, turn, 0::BIGINT AS n_pairs, '' AS history FROM pairs""",
