@@ -36,15 +36,12 @@ def r1_embed(spark, sf_dir):
 
 
 def r1_embed_store(spark, sf_dir):
-    """Embeddings from a store that already holds half of the texts; every text is encoded once."""
-    queries = I.table(spark, sf_dir, "benchmark").select(
-        "item_id", R.query_instruction(F.col("text")).alias("query")
-    )
+    """Every turn's text from a store that already holds half of them; each text is encoded once."""
+    turns = I.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     store = EmbeddingStore(spark, scratch_path(spark, "embeddings"), "letters of 16 kinds")
-    store.fill(queries.where("item_id % 2 = 0"), letter_encoder, "query")
-    return store.embed(queries, letter_encoder, "query").select(
-        "item_id", F.posexplode("embedding").alias("dim", "value")
-    ).select("item_id", F.col("dim").cast("long").alias("dim"), F.col("value").cast("long").alias("n"))
+    store.fill(turns.where("turn % 2 = 0"), letter_encoder)
+    dims = store.embed(turns, letter_encoder).select("conv_id", "turn", F.posexplode("embedding").alias("dim", "value"))
+    return dims.select("conv_id", "turn", F.col("dim").cast("long").alias("dim"), F.col("value").cast("long").alias("n"))
 
 
 def r2_normalize(spark, sf_dir):
@@ -299,7 +296,14 @@ SELECT query_id, coalesce(knowledge, text, '') AS knowledge
 FROM questions LEFT JOIN matches USING (query_id) LEFT JOIN benchmark ON item_id = query_id""",
 }
 ORACLES |= {
-    "r1_embed_store": ORACLES["r1_embed"],
+    "r1_embed_store": """
+WITH marks AS (
+  SELECT conv_id, turn, unnest(list_transform(string_split(text, ''), lambda c: unicode(c) % 16)) AS dim FROM conversations
+),
+counts AS (SELECT conv_id, turn, dim, count(*) AS n FROM marks GROUP BY ALL)
+SELECT conv_id, turn, dim, coalesce(n, 0) AS n
+FROM (SELECT conv_id, turn, unnest(range(0, 16)) AS dim FROM conversations WHERE text IS NOT NULL)
+LEFT JOIN counts USING (conv_id, turn, dim)""",
     "r5_best_match_pivots": ORACLES["r5_best_match"],
     "r6_threshold_matches_pivots": ORACLES["r6_threshold_matches"],
     "r8_l2_range_pivots": ORACLES["r8_l2_range"],

@@ -41,7 +41,7 @@ def test_cells_are_skipped_and_no_match_is_lost(spark):
     index = pivot_index(passages, "l2", cells=40)
     reached = index.reached(queries, 4.0)
     # Unpruned, every query with a vector would reach every cell.
-    assert reached.selectExpr("sum(size(cells))").first()[0] < 0.2 * 37 * len(index.pivots)
+    assert reached.selectExpr("sum(cells)").first()[0] < 0.2 * 37 * len(index.pivots)
     # Nor is a query copied to a block more often than once.
     blocks = np.arange(len(index.pivots)) // 10
     assert index.reached(queries, 1e9, blocks).count() == 37 * 4
