@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.stores import sent_if_small
-from talkloom.llm.text import MinHash, WordHashes, lower_words, shingle_hashes, text_bytes
+from talkloom.llm.text import MinHash, WordHashes, lower_words, shingle_hashes, sparing, text_bytes
 from talkloom.sources.scratch import written
 
 PERCENT = 75
@@ -192,7 +192,7 @@ def find_leaks(
     for block in range(count):
         part = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(count)) == block)
         sent = spark.sparkContext.broadcast(part.select("item_id", "shingles").toArrow())
-        found.append(rows.mapInArrow(_searched(sent, percent), SCHEMA))
+        found.append(rows.mapInArrow(sparing(_searched(sent, percent)), SCHEMA))
     if not found:
         return spark.createDataFrame([], SCHEMA)
     return reduce(DataFrame.unionAll, found)
