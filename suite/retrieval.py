@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from suite import inputs as I
 from suite.sql import DISTANCES, DISTANCES_ONLY, PASSAGES, QUESTIONS, SIMS
 from talkloom.functions import vectors as V
+from talkloom.operators import contexts as C
 from talkloom.operators import retrieve as R
 from talkloom.operators.stores import EmbeddingStore, FlatIndex
 from talkloom.plans.pivots import pivot_index
 from talkloom.sources.scratch import scratch_path, written
 
 NEAR = 0.3
+CHUNK = 10_000
 
 
 def letter_encoder():
@@ -118,6 +120,18 @@ def r6_threshold_matches(spark, sf_dir):
     )
 
 
+def r6_threshold_chunks(spark, sf_dir):
+    """The knowledge of r6_threshold_matches in chunks."""
+    return C.threshold_chunks(
+        I.question_vectors(spark, sf_dir), I.passages(spark, sf_dir), threshold=NEAR, size=CHUNK
+    )
+
+
+def r8_l2_range_chunks(spark, sf_dir):
+    """All that lies in the radius, in chunks."""
+    return C.l2_range_chunks(I.question_vectors(spark, sf_dir), I.passages(spark, sf_dir), radius=2.0, size=CHUNK)
+
+
 def r8_l2_range(spark, sf_dir):
     """Every passage is measured; of those in the radius the nearest five are joined."""
     return R.l2_range_context(
@@ -191,7 +205,9 @@ QUERIES = {
         r5_best_match_pivots,
         r6_threshold_matches,
         r6_threshold_matches_pivots,
+        r6_threshold_chunks,
         r8_l2_range,
+        r8_l2_range_chunks,
         r8_l2_range_pivots,
         r8_l2_range_rows,
         r9_index_roundtrip,
@@ -295,7 +311,13 @@ WITH {TEXT_SIMS}, {numbered(0.7)}
 SELECT query_id, coalesce(knowledge, text, '') AS knowledge
 FROM questions LEFT JOIN matches USING (query_id) LEFT JOIN benchmark ON item_id = query_id""",
 }
+_CHUNKS = f"""
+SELECT query_id, chunk, {CHUNK} * chunk AS "offset", substring(knowledge, {CHUNK} * chunk + 1, {CHUNK}) AS text
+FROM (SELECT query_id, knowledge, unnest(range(0, (length(knowledge) + {CHUNK - 1}) // {CHUNK})) AS chunk FROM {{found}})"""
+
 ORACLES |= {
+    "r6_threshold_chunks": f"WITH {TEXT_SIMS}, {numbered(NEAR)}" + _CHUNKS.format(found="matches"),
+    "r8_l2_range_chunks": f"WITH {DISTANCES}, {nearest(2.0)}" + _CHUNKS.format(found="nearest"),
     "r1_embed_store": """
 WITH marks AS (
   SELECT conv_id, turn, unnest(list_transform(string_split(text, ''), lambda c: unicode(c) % 16)) AS dim FROM conversations
