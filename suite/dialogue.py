@@ -15,7 +15,7 @@ from talkloom.operators import route as N
 from talkloom.operators.registry import match_registry
 from talkloom.operators.shared_history import expanded_histories, shared_histories
 from talkloom.plans.numbering import number_rows
-from talkloom.sources.scratch import scratch_path, small_table
+from talkloom.sources.scratch import scratch_path, small_table, written
 from talkloom.streaming import replies as ST
 
 # Words that replies contain, standing for tool names; the order is the registry order.
@@ -196,6 +196,31 @@ def st1_latest_snapshot_stream(spark, sf_dir):
     return ST.latest_snapshot(ST.read_log(spark, out))
 
 
+def st1_latest_snapshot_compacted(spark, sf_dir):
+    """The log kept in versions, merged as it grows, with its old versions removed."""
+    log = ST.ReplyLog(spark, scratch_path(spark, "log"))
+    stream = ST.read_snapshots(spark, _stored_snapshots(spark, sf_dir), files_per_batch=1)
+    ST.compacted_snapshot_stream(stream, log, scratch_path(spark, "offsets")).awaitTermination()
+    log.table.expire()
+    return log.latest()
+
+
+def st2_suffix_delta_event_time(spark, sf_dir):
+    """Conversations arrive in four hours; the state of an hour's replies ends in the next ones."""
+    path = scratch_path(spark, "timed")
+    hour, second = F.pmod("conv_id", F.lit(4)), F.pmod("seq", F.lit(3600))
+    timed = written(I.snapshots(spark, sf_dir).withColumn("arrived", F.timestamp_seconds(3600 * hour + second)), "timed")
+    for k in range(4):
+        # A folder of files for each hour, written in turn: files are read by their age.
+        part = timed.where(hour == k).repartition(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq")
+        part.write.mode("append").parquet(path)
+    stream = ST.read_snapshots(spark, path, files_per_batch=4, arrival="arrived")
+    deltas = ST.suffix_delta_stream(stream, idle_ms=600_000, arrival="arrived", delay="1 hour")
+    out = scratch_path(spark, "deltas")
+    ST.store_deltas(deltas, out, scratch_path(spark, "offsets")).awaitTermination()
+    return spark.read.schema(ST.DELTA).parquet(out)
+
+
 def st2_suffix_delta_stream(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "deltas"), scratch_path(spark, "offsets")
     stream = ST.read_snapshots(spark, _stored_snapshots(spark, sf_dir), files_per_batch=4)
@@ -225,9 +250,11 @@ QUERIES = {
         h4_seed_system,
         st1_latest_snapshot,
         st1_latest_snapshot_stream,
+        st1_latest_snapshot_compacted,
         st2_suffix_delta,
         st2_suffix_delta_segments,
         st2_suffix_delta_stream,
+        st2_suffix_delta_event_time,
     ]
 }
 
@@ -334,7 +361,9 @@ SELECT conv_id, turn, 'system: ' || coalesce(content, {literal(SYSTEM_CONTENT)})
 FROM said LEFT JOIN systems USING (conv_id)""",
     "st1_latest_snapshot": _LATEST,
     "st1_latest_snapshot_stream": _LATEST,
+    "st1_latest_snapshot_compacted": _LATEST,
     "st2_suffix_delta": _DELTAS,
     "st2_suffix_delta_segments": _DELTAS,
     "st2_suffix_delta_stream": _DELTAS,
+    "st2_suffix_delta_event_time": _DELTAS,
 }
