@@ -173,8 +173,12 @@ def _event_time_deltas(stream: DataFrame, arrival: str, delay: str, idle_ms: int
         if state.hasTimedOut:
             state.remove()
             return
-        seq, length, last = state.get if state.exists else (-1, 0, 0)
         watermark = state.getCurrentWatermarkMs()
+        seq, length, last = state.get if state.exists else (-1, 0, 0)
+        if state.exists and last + idle_ms <= watermark:
+            # Due to be forgotten, though its time-out comes only after this batch's rows.
+            seq, length, last = -1, 0, 0
+            state.remove()
         arrived = pd.concat(list(batches)).sort_values("seq")
         # Spark itself drops by the watermark of the batch before, which would let some late rows through.
         arrived = arrived[arrived["_millis"] >= watermark]
@@ -186,10 +190,9 @@ def _event_time_deltas(stream: DataFrame, arrival: str, delay: str, idle_ms: int
         if not arrived.empty:
             last = max(last, int(arrived["_millis"].max()))
             state.update((seq, length, last))
-        elif not state.exists:
-            return
-        # A time-out at or before the watermark is refused; such a reply ends in the next batch.
-        state.setTimeoutTimestamp(max(last + idle_ms, watermark + 1))
+        if state.exists:
+            # Each call clears the time-out. One at or before the watermark is refused.
+            state.setTimeoutTimestamp(max(last + idle_ms, watermark + 1))
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "seq", "delta"])
 
     timed = stream.withWatermark(arrival, delay)
