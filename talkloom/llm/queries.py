@@ -214,22 +214,27 @@ m AS (
 f AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed,
   {", ".join(f"{sql} AS v_{name}" for name, sql in _MEASURE_SQL.items())} FROM m),
 v AS (
-  {" UNION ALL ".join(f"SELECT lang, source, '{name}' AS measure, v_{name} AS bin, {width} AS width FROM f WHERE NOT base_failed" for name, (_, _, width) in rules.MEASURES.items())}
+  {" UNION ALL ".join(f"SELECT lang, source, '{name}' AS measure, v_{name}::BIGINT AS v, {width} AS width FROM f WHERE NOT base_failed" for name, (_, _, width) in rules.MEASURES.items())}
 ),
+bits AS (SELECT *, greatest(length(bin(v)) - {rules.BITS}, 0) AS lost FROM v),
+bins AS (SELECT lang, source, measure, width, (v >> lost) << lost AS low, ((v >> lost) << lost) + (1::BIGINT << lost) - 1 AS up FROM bits),
 levels AS (
-  SELECT 0 AS level, lang, source, measure, bin, width FROM v
-  UNION ALL SELECT 1, lang, NULL, measure, bin, width FROM v
-  UNION ALL SELECT 2, NULL, NULL, measure, bin, width FROM v
+  SELECT 0 AS level, lang, source, measure, low, up, width FROM bins
+  UNION ALL SELECT 1, lang, NULL, measure, low, up, width FROM bins
+  UNION ALL SELECT 2, NULL, NULL, measure, low, up, width FROM bins
 ),
 q AS (
   SELECT level, lang, source, measure, count(*) AS total,
-    quantile_disc(bin, 0.5) AS median, quantile_disc(bin, {rules.QUANTILE}) AS high, any_value(width) AS width
+    quantile_disc(low, 0.5) AS median, quantile_disc(up, {rules.QUANTILE}) AS high, any_value(width) AS width
   FROM levels GROUP BY ALL
 ),
-fences AS (SELECT level, lang, source, measure, total, greatest(high + {rules.REACH} * (high - median), median + width) AS fence FROM q),
+fences AS (
+  SELECT level, lang, source, measure, total::DOUBLE AS total,
+    greatest(high + {rules.REACH} * (high - median), median + width)::DOUBLE AS fence FROM q
+),
 limits AS (
   SELECT s.lang, s.source, s.measure,
-    CASE WHEN s.total >= {rules.FEW} THEN s.fence WHEN l.total >= {rules.FEW} THEN l.fence ELSE g.fence END AS fence
+    (s.total * s.fence + {rules.PRIOR} * ((l.total * l.fence + {rules.PRIOR} * g.fence) / (l.total + {rules.PRIOR}))) / (s.total + {rules.PRIOR}) AS fence
   FROM fences s
   JOIN fences l ON l.level = 1 AND l.measure = s.measure AND l.lang IS NOT DISTINCT FROM s.lang
   JOIN fences g ON g.level = 2 AND g.measure = s.measure

@@ -2,11 +2,18 @@
 
 Fixed base rules give up on short and repetitive texts. For the rest, each measure has
 a fence: the ``QUANTILE`` of its group plus ``REACH`` times its distance from the
-median, but at least ``LEAST`` above the median. Groups are (language, source); a group
-of fewer than ``FEW`` texts takes the fences of its language, a small language those of
-all texts. Quantiles come from sketches that are counts over fixed bins, one bin for
-each thousandth of a measure: sketches of sources merge into those of languages by
-adding, and the result does not depend on how rows are partitioned.
+median, but at least ``LEAST`` above the median. Groups are (language, source).
+
+Quantiles come from sketches that merge by adding: counts over bins of thousandths of a
+measure, one for each value below ``2 ** BITS`` and above that one for each value of the
+leading ``BITS`` bits. A sketch has at most ``2 ** (BITS - 1) * (65 - BITS)`` bins however many
+texts it stands for, and does not depend on how rows are partitioned. The median is
+taken at the lower end of its bin and the quantile at the upper end, so that a fence is
+never tighter than the exact one, and wider by at most ``(2 * REACH + 1) / 2 ** (BITS - 1)`` of
+the quantile. Texts are compared with it by their exact measures.
+
+A group of n texts weighs its own fence n to ``PRIOR`` against that of its language, and a
+language its own against that of all texts, so verdicts do not jump with a group's size.
 """
 
 from __future__ import annotations
@@ -20,7 +27,10 @@ from talkloom.sources.scratch import written
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-FEW = 200
+#: So many texts of a group weigh as much as the group above it.
+PRIOR = 200
+#: Leading bits that a bin of the sketch tells apart.
+BITS = 8
 QUANTILE = 0.9
 REACH = 3
 #: Name of a measure -> (count, of what), in thousandths, and the least width of its fence.
@@ -96,9 +106,24 @@ def _thousandths(name: str) -> Column:
     return F.when(F.col(of) > 0, share).otherwise(F.lit(0)).cast("long")
 
 
+def _lost_bits(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
+
+
+def bin_low(value: Column) -> Column:
+    """The lowest value of the bin that holds ``value``."""
+    lost = _lost_bits(value)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, lost), lost)
+
+
+def bin_high(value: Column) -> Column:
+    """The highest value of the bin that holds ``value``."""
+    return bin_low(value) + F.call_function("shiftleft", F.lit(1).cast("long"), _lost_bits(value)) - 1
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, measure, bin, n) of the rows that pass the base rules; partial counts merge by adding."""
-    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _thousandths(m).alias("bin")) for m in MEASURES]))
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_low(_thousandths(m)).alias("bin")) for m in MEASURES]))
     passed = rows.where(~base_failed()).select("lang", "source", values.alias("v"))
     return passed.groupBy("lang", "source", "v.measure", "v.bin").agg(F.count("*").alias("n"))
 
@@ -115,6 +140,7 @@ def fences(counts: DataFrame) -> DataFrame:
             counts.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), none.alias("lang"), none.alias("source"), "measure", "bin", "n")
         )
     )
+    # A group of the window is one sketch, so its rows are bounded.
     group = Window.partitionBy("level", "lang", "source", "measure")
     ranked = merged.withColumns(
         {"upto": F.sum("n").over(group.orderBy("bin")), "total": F.sum("n").over(group)}
@@ -124,13 +150,13 @@ def fences(counts: DataFrame) -> DataFrame:
         ranked.groupBy("level", "lang", "source", "measure", "total")
         .agg(
             F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("bin"))).alias("median"),
-            F.min(F.when(100 * F.col("upto") >= int(100 * QUANTILE) * F.col("total"), F.col("bin"))).alias("high"),
+            F.min(F.when(100 * F.col("upto") >= int(100 * QUANTILE) * F.col("total"), bin_high(F.col("bin")))).alias("high"),
         )
         .withColumn(
             "fence",
             F.greatest(
                 F.col("high") + REACH * (F.col("high") - F.col("median")), F.col("median") + F.element_at(least, F.col("measure"))
-            ),
+            ).cast("double"),
         )
     )
     wide = written(
@@ -139,16 +165,17 @@ def fences(counts: DataFrame) -> DataFrame:
         ),
         "rule-fences",
     )
-    own, by_lang, overall = (wide.where(F.col("level") == k).alias(a) for k, a in enumerate("slg"))
-    few_own, few_lang = F.col("s.total") < FEW, F.col("l.total") < FEW
-    return (
-        own.join(F.broadcast(by_lang), F.col("s.lang").eqNullSafe(F.col("l.lang")))
-        .join(F.broadcast(overall), F.lit(True))
-        .select(
-            F.col("s.lang").alias("_lang"),
-            F.col("s.source").alias("_source"),
-            *[F.when(~few_own, F.col(f"s.{m}")).when(~few_lang, F.col(f"l.{m}")).otherwise(F.col(f"g.{m}")).alias(f"_{m}") for m in MEASURES],
-        )
+    own, by_lang, overall = (wide.where(F.col("level") == k) for k in range(3))
+
+    def blended(above: str, m: str) -> Column:
+        return ((F.col("total") * F.col(m) + PRIOR * F.col(f"{above}_{m}")) / (F.col("total") + PRIOR)).alias(m)
+
+    # One row in all.
+    top = overall.select(*[F.col(m).alias(f"all_{m}") for m in MEASURES])
+    languages = by_lang.join(F.broadcast(top), F.lit(True)).select("lang", "total", *[blended("all", m) for m in MEASURES])
+    above = languages.select(F.col("lang").alias("_of"), *[F.col(m).alias(f"lang_{m}") for m in MEASURES])
+    return own.join(sent_if_small(written(above, "rule-languages"), MOST_SENT), F.col("lang").eqNullSafe(F.col("_of"))).select(
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[blended("lang", m).alias(f"_{m}") for m in MEASURES]
     )
 
 

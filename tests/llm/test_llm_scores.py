@@ -109,6 +109,38 @@ def test_fences_above_fifty_a_word_still_hold(docs_of):
     assert [d for d, ok in sorted(kept.items()) if not ok] == [1000, 1001]
 
 
+def test_bins_hold_their_values_and_are_few(spark):
+    rows = spark.range(0, 70_000).selectExpr("id * id * id as v").select("v", rules.bin_low(F.col("v")).alias("low"), rules.bin_high(F.col("v")).alias("high"))
+    found = rows.collect()
+    assert all(r.low <= r.v <= r.high and r.high - r.low <= r.low / 2 ** (rules.BITS - 1) for r in found)
+    assert all(r.low == r.high for r in found if r.v < 2**rules.BITS)
+    assert len({r.low for r in found}) <= 2 ** (rules.BITS - 1) * (65 - rules.BITS)
+
+
+def slow_fence(values, width):
+    """The exact fence, and the widest one that the sketch may give."""
+    ordered = sorted(values)
+    median, high = ordered[(len(ordered) + 1) // 2 - 1], ordered[math.ceil(0.9 * len(ordered)) - 1]
+    exact = max(high + rules.REACH * (high - median), median + width)
+    return exact, exact + (2 * rules.REACH + 1) * high / 2 ** (rules.BITS - 1)
+
+
+@pytest.mark.parametrize("n", [199, 200, 201])
+def test_fences_do_not_jump_with_the_size_of_a_group(spark, n):
+    rand = random.Random(7)
+    own = [int(1000 * rand.uniform(4, 9)) for _ in range(n)]
+    other = [int(1000 * rand.uniform(10, 40)) for _ in range(500)]
+    rows = [("en", "own", m, v) for m in rules.MEASURES for v in own] + [("en", "other", m, v) for m in rules.MEASURES for v in other]
+    values = spark.createDataFrame(rows, "lang string, source string, measure string, v long")
+    counts = values.groupBy("lang", "source", "measure", rules.bin_low(F.col("v")).alias("bin")).agg(F.count("*").alias("n"))
+    found = {r["_source"]: r for r in rules.fences(counts).collect()}
+    for m, (_, _, width) in rules.MEASURES.items():
+        sides = zip(slow_fence(own, width), slow_fence(own + other, width))
+        # The language holds all texts, so its blend with them is itself.
+        low, high = ((n * a + rules.PRIOR * b) / (n + rules.PRIOR) for a, b in sides)
+        assert low - 1e-6 <= found["own"][f"_{m}"] <= high + 1e-6
+
+
 def test_mix_reaches_targets(spark):
     rand = random.Random(3)
     rows = [(k, " ".join(["w"] * rand.randrange(0, 60)), None, s) for k, s in enumerate(rand.choices(["a", "b", "c", None], [70, 20, 3, 7], k=2000))]
