@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm import chat_format, decontaminate, divergence, hard_negatives, mixing, neardup, quality, rules, token_counts, token_files, toxicity, urls, warc
+from talkloom.llm.url_labels import labelled_urls
 from talkloom.sources.scratch import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,33 +68,7 @@ URL_RULES = [
     urls.Rule("net", "/fr/", "block"),
 ]
 
-#: Invented urls with a label: 1 is to be blocked.
-LABELLED_URLS = [
-    ("https://spam-farm.example.org/win-prizes", 1),
-    ("http://spam-offers.example.net/en/1", 1),
-    ("https://cheap-pills.example.org/buy?now=1", 1),
-    ("http://adult-x.example.com/de/7", 1),
-    ("http://adult-video.example.org/free", 1),
-    ("https://casino-bonus.example.net/slots", 1),
-    ("https://online-casino.example.org/fr/2", 1),
-    ("http://xxx-pics.example.org/gallery/9", 1),
-    ("https://m.spam-list.example.org/es/3", 1),
-    ("http://free-bets.example.net/poker", 1),
-    ("https://fake-watches.example.org/sale", 1),
-    ("http://warez-crack.example.net/download", 1),
-    ("https://blog.gardens.example.org/en/1", 0),
-    ("https://news.city.example.net/de/22.html", 0),
-    ("http://www.library.example.org/catalogue/5", 0),
-    ("https://school.example.net/fr/lessons", 0),
-    ("https://m.weather.example.org/es/today", 0),
-    ("http://museum.example.org/en/321#top", 0),
-    ("https://docs.project.example.net/guide/", 0),
-    ("https://recipes.example.org/en/soup", 0),
-    ("http://health.example.net/de/98?page=2", 0),
-    ("https://www.travel.example.org/fr/748", 0),
-    ("http://science.example.net/en/214", 0),
-    ("https://history.example.org/de/511", 0),
-]
+LABELLED_URLS = labelled_urls()
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

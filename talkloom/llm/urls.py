@@ -8,6 +8,7 @@ that is sent to the tasks has a fixed bound.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,8 @@ BITS = 14
 #: Labelled urls that a fit uses at most: those with the lowest hashes.
 MOST_LABELLED = 2000
 ROUNDS = 20
-RATE = 4.0
-DECAY = 1e-4
+#: Weight of the squared norm of the weights in the loss, the bias left out.
+RIDGE = 1e-5
 CUT = 0.5
 
 
@@ -60,7 +61,7 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def hashed_grams(host: Column, path: Column, bits: int = BITS) -> Column:
-    """The distinct n-gram numbers below ``2 ** bits``; ``^`` and ``$`` mark the ends of a part."""
+    """The distinct n-gram numbers below ``2 ** bits``; ``^`` and ``$`` mark the ends of a part, all digits are alike."""
 
     def of(part: Column, tag: str, n: int) -> Column:
         def grams(letters: Column) -> Column:
@@ -72,7 +73,7 @@ def hashed_grams(host: Column, path: Column, bits: int = BITS) -> Column:
             )
 
         # The letters are bound once; as an expression they would be split again for every n-gram.
-        once = F.array(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""))
+        once = F.array(F.split(F.concat(F.lit("^"), F.translate(part, "123456789", "000000000"), F.lit("$")), ""))
         return F.flatten(F.transform(once, grams))
 
     return F.array_distinct(F.concat(*[of(part, tag, n) for part, tag in ((host, "host"), (path, "path")) for n in GRAMS]))
@@ -100,8 +101,12 @@ def labelled_table(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFram
 
 
 def fit(labelled: DataFrame, bits: int = BITS, rounds: int = ROUNDS, most: int = MOST_LABELLED) -> UrlModel:
-    """Fit (url, label) by gradient steps over all rows, at most ``most`` of them by lowest hash.
+    """Fit (url, label) by accelerated gradient steps over all rows, at most ``most`` of them by lowest hash.
 
+    Rows are weighted so that both labels count alike; with one label only, all weigh 1.
+    A weight's step is the inverse of a bound on how much the loss bends along it when all
+    weights move at once: a url's feature values times their sum, a quarter of it averaged over the
+    urls that have the n-gram. So steps cannot overshoot, and rare n-grams learn as fast as frequent ones.
     A round is one job: margins and errors per url, then sums per n-gram. Errors are
     whole millionths, so that sums are exact and the model is the same under any
     partitioning. Rows without label are left out; without rows the model says 0.5.
@@ -114,26 +119,36 @@ def fit(labelled: DataFrame, bits: int = BITS, rounds: int = ROUNDS, most: int =
         .select(hashed_grams(host, path, bits).alias("grams"), F.col("label").cast("double").alias("label")),
         "url-labelled",
     )
-    weights, bias = [0.0] * (1 << bits), 0.0
-    size = rows.count()
+    size, blocked = rows.agg(F.count("*"), F.sum("label")).first()
+    blocked = blocked or 0.0
+    even = 0 < blocked < size
+    weight = F.when(F.col("label") == 1, size / (2 * blocked)).otherwise(size / (2 * (size - blocked))) if even else F.lit(1.0)
+    # The bias is kept behind the weights. A url of n n-grams has features 1 / sqrt(n) and a bias feature
+    # of 1, which add up to sqrt(n) + 1: times a feature, 1 + 1 / sqrt(n) for an n-gram, sqrt(n) + 1 for the bias.
+    root = F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
+
+    def sums(of_bias: Column, of_gram: Column) -> list:
+        """(n-gram, whole sum) over all rows, in millionths."""
+        whole = [F.round(1e6 * weight * v).cast("long") for v in (of_bias, of_gram)]
+        each = F.transform("grams", lambda g: F.struct(g.alias("gram"), whole[1].alias("v")))
+        values = F.concat(F.array(F.struct(F.lit(1 << bits).alias("gram"), whole[0].alias("v"))), each)
+        return rows.select(F.explode(values).alias("x")).groupBy("x.gram").agg(F.sum("x.v").alias("v")).collect()
+
+    bends = [RIDGE] * ((1 << bits) + 1)
+    for gram, bend in sums(root + 1, 1 + 1 / root):
+        bends[gram] += bend / 4e6 / size
+    here = last = [0.0] * ((1 << bits) + 1)
+    pace = 1.0
     for _ in range(rounds if size else 0):
-        error = F.col("label") - UrlModel(tuple(weights), bias).score(F.col("grams"))
-        millionths = F.round(error * 1e6).cast("long")
-        scaled = F.round(error * 1e6 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))).cast("long")
-        sums = (
-            rows.select(F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("gram"), millionths.alias("step"))), F.transform("grams", lambda g: F.struct(g.alias("gram"), scaled.alias("step"))))).alias("v"))
-            .groupBy("v.gram")
-            .agg(F.sum("v.step").alias("step"))
-            .collect()
-        )
-        weights = [w * (1 - RATE * DECAY) for w in weights]
-        for gram, step in sums:
-            move = RATE * step / 1e6 / size
-            if gram < 0:
-                bias += move
-            else:
-                weights[gram] += move * 20
-    return UrlModel(tuple(weights), bias)
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = [x + (pace - 1) / faster * (x - y) for x, y in zip(here, last)]
+        pace = faster
+        error = F.col("label") - UrlModel(tuple(ahead[:-1]), ahead[-1]).score(F.col("grams"))
+        last, here = here, list(ahead)
+        for gram, step in sums(error, error / root):
+            shrunk = 0.0 if gram == 1 << bits else RIDGE * ahead[gram]
+            here[gram] += (step / 1e6 / size - shrunk) / bends[gram]
+    return UrlModel(tuple(here[:-1]), here[-1])
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -209,11 +210,57 @@ def test_url_rules(spark):
     assert {r.verdict for r in found if "spam" in r.host} == {"block"}
 
 
-def test_url_model_fits_and_handles_long_urls(spark):
-    model = urls.fit(urls.labelled_table(spark, LABELLED_URLS))
-    table = urls.labelled_table(spark, [*LABELLED_URLS, ("http://h/" + "long/" * 20000, 0)])
+def plain_fit(rows, rounds, bits):
+    """The same steps with numpy over (n-grams, label)."""
+    size, end = len(rows), 1 << bits
+    x, y = np.zeros((size, end + 1)), np.array([label for _, label in rows], float)
+    for i, (grams, _) in enumerate(rows):
+        x[i, grams], x[i, end] = 1 / math.sqrt(max(len(grams), 1)), 1
+    weight = np.where(y == 1, size / (2 * y.sum()), size / (2 * (size - y.sum())))
+    bends = urls.RIDGE + (x * (weight * x.sum(1))[:, None]).sum(0) / 4 / size
+    here = last = np.zeros(end + 1)
+    pace, losses = 1.0, []
+    for _ in range(rounds):
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, pace = here + (pace - 1) / faster * (here - last), faster
+        slope = x.T @ (weight * (y - 1 / (1 + np.exp(-x @ ahead)))) / size
+        slope[:end] -= urls.RIDGE * ahead[:end]
+        last, here = here, ahead + slope / bends
+        margins = x @ here
+        losses.append((weight * np.log1p(np.exp(np.where(y == 1, -margins, margins)))).mean())
+    assert losses[-1] < losses[0] / 3
+    return here
+
+
+def grams_of(spark, labelled):
     grams = urls.hashed_grams(urls.host_of(F.col("url")), urls.path_of(F.col("url")))
-    scored = table.select("url", "label", model.score(grams).alias("score")).collect()
-    assert all((r.score >= 0.5) == bool(r.label) for r in scored if len(r.url) < 1000)
-    none = urls.fit(urls.labelled_table(spark, LABELLED_URLS).where("label > 5"))
+    return urls.labelled_table(spark, labelled).select("url", "label", grams.alias("grams"))
+
+
+def test_url_model_equals_plain_steps_and_handles_long_urls(spark):
+    some = LABELLED_URLS[::6]
+    model = urls.fit(urls.labelled_table(spark, [*some, ("x", None)]), rounds=6)
+    table = grams_of(spark, [*some, ("http://h/" + "long/" * 20000, 0)])
+    rows = table.select("*", model.score(F.col("grams")).alias("score")).collect()
+    plain = plain_fit([(r.grams, r.label) for r in rows[:-1]], 6, urls.BITS)
+    for r in rows:
+        margin = plain[r.grams].sum() / math.sqrt(len(r.grams)) + plain[-1]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-margin)), abs=2e-3)
+
+
+def test_url_model_without_labels_or_with_one(spark):
+    labelled = urls.labelled_table(spark, LABELLED_URLS[:3])
+    none = urls.fit(labelled.where("label > 5"))
     assert set(none.weights) == {0.0} and none.bias == 0.0
+    one = urls.fit(labelled, rounds=3)
+    assert one.bias > 0 and sum(one.weights) > 0
+
+
+def test_urls_outside_the_table_are_told_apart(spark):
+    held = [r for r in LABELLED_URLS if crc32(r[0].encode()) % 4 == 0]
+    hosts = [{url.split("//")[1].split("/")[0] for url, _ in rows} for rows in (held, set(LABELLED_URLS) - set(held))]
+    assert len(set(LABELLED_URLS)) == len(LABELLED_URLS) and not hosts[0] & hosts[1]
+    model = urls.fit(urls.labelled_table(spark, [r for r in LABELLED_URLS if r not in set(held)]))
+    scored = grams_of(spark, held).select("label", (model.score(F.col("grams")) >= urls.CUT).alias("blocked")).collect()
+    hits = sum(r.blocked and r.label == 1 for r in scored)
+    assert hits >= 0.9 * sum(r.blocked for r in scored) and hits >= 0.9 * sum(r.label for r in scored)
