@@ -180,6 +180,22 @@ def t8_flatten(spark, sf_dir):
 # Whole jobs
 
 
+def u5_user_steps(spark, sf_dir):
+    """Two steps of a user before the prompts are made: short answers go, an answer given often stays once."""
+
+    def long_answers(records):
+        return records.filter(F.length("output") >= 40)
+
+    def one_per_answer(records):
+        first = F.min(F.struct("conv_id", "turn", "instruction", "input")).alias("first")
+        return records.groupBy("output").agg(first).select("first.*", "output")
+
+    examples = training_examples(
+        I.records(spark, sf_dir), I.MAX_LEN, None, I.SPECIAL, I.EOS, steps=[long_answers, one_per_answer]
+    )
+    return examples.select("conv_id", "turn", I.ids_text("input_ids").alias("ids"))
+
+
 def e1_training_batches(spark, sf_dir):
     """Array file to padded batches: read, format, tokenize, clip, store, batch, pad left."""
     path = I.write_arrays(I.records(spark, sf_dir), "arrays")
@@ -224,6 +240,7 @@ QUERIES = {
         t6_batches,
         t7_collate,
         t8_flatten,
+        u5_user_steps,
         e1_training_batches,
         e2_batch_inference,
     ]
@@ -290,6 +307,14 @@ FROM prompts""",
     + """, array_to_string(list_transform(full_ids, lambda x: CASE WHEN x = 32 THEN -100 ELSE x END), ' ')
   AS label_ids FROM padded""",
     "t8_flatten": _CLIPPED,
+    "u5_user_steps": f"""
+WITH {TOKENS},
+chosen AS (
+  SELECT conv_id, turn FROM prompts WHERE length(target) >= 40
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY conv_id, turn) = 1
+)
+SELECT conv_id, turn, array_to_string(list_slice(ids, 1, 200), ' ') AS ids
+FROM assembled JOIN chosen USING (conv_id, turn)""",
     "e1_training_batches": _padded(4, 0, True) + " FROM padded",
     "e2_batch_inference": f"""
 WITH {PROMPTS} SELECT conv_id, turn, target, length(context)::VARCHAR AS answer FROM prompts""",

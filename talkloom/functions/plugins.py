@@ -7,7 +7,7 @@ Python worker, so a model is loaded on the executors and never per row.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -27,6 +27,18 @@ class Transform(Protocol):
     def __call__(self, df: DataFrame) -> DataFrame: ...
 
 
+def apply_steps(df: DataFrame, steps: Iterable[Transform]) -> DataFrame:
+    """``df`` after the user's steps, one after the other; without steps ``df`` itself.
+
+    Steps only build the plan, so Spark may still push filters and columns through them.
+    """
+    for step in steps:
+        df = step(df)
+        if not isinstance(df, DataFrame):
+            raise TypeError(f"{getattr(step, '__name__', step)} gave {type(df).__name__}, not a DataFrame")
+    return df
+
+
 _LOADED: dict[str, Callable] = {}
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.functions.plugins import Generator, Tokenizer, generate
+from talkloom.functions.plugins import Generator, Tokenizer, Transform, apply_steps, generate
 from talkloom.functions.strings import last_line
 from talkloom.operators.chat import pair_turns
 from talkloom.operators.instruct import first_n, prompt_records
@@ -40,9 +40,10 @@ def training_examples(
     special_ids: tuple[int, ...] = (),
     eos_id: int = 2,
     skip: bool = False,
+    steps: Iterable[Transform] = (),
 ) -> DataFrame:
-    """Instruction records to token sequences, all narrow."""
-    return tokenize_corpus(prompt_records(records), max_len, tokenizer, special_ids, eos_id, skip)
+    """Instruction records, after the user's ``steps``, to token sequences, all narrow."""
+    return tokenize_corpus(prompt_records(apply_steps(records, steps)), max_len, tokenizer, special_ids, eos_id, skip)
 
 
 def training_batches(
@@ -57,8 +58,13 @@ def batch_inference(
     generator: Callable[[], Generator],
     n: int | None = None,
     order: list[str] | None = None,
+    steps: Iterable[Transform] = (),
 ) -> DataFrame:
-    """Answers of all records, or of the first ``n`` in ``order``: the generator's last line."""
+    """Answers of all records, or of the first ``n`` in ``order``: the generator's last line.
+
+    ``steps`` are the user's own, applied to the records before any are chosen.
+    """
+    records = apply_steps(records, steps)
     chosen = records if n is None else first_n(records, order, n)
     prompts = prompt_records(chosen)
     replies = generate(prompts, generator, "context", "raw")

@@ -114,3 +114,16 @@ def test_first_n(spark):
     df = spark.range(1000).select((F.lit(999) - F.col("id")).alias("pos"))
     assert sorted(r.pos for r in first_n(df, ["pos"], 5).collect()) == [0, 1, 2, 3, 4]
     assert sorted(r.pos for r in first_n(df, ["pos"], 500).collect()) == list(range(500))
+    assert first_n(df, ["pos"], 0).count() == 0 and first_n(df, ["pos"], 5000).count() == 1000
+
+
+def test_first_n_both_ways(spark, monkeypatch):
+    """Few and many keys, two order columns, a null among them, and rows that carry more."""
+    rows = [(None if i % 7 == 0 else i % 7, i, "x" * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b int, text string").repartition(5)
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))[:17]
+    few = first_n(df, ["a", "b"], 17)
+    assert "TakeOrderedAndProject" in few._jdf.queryExecution().toString()
+    monkeypatch.setattr("talkloom.operators.instruct.FEW_KEYS", 16)
+    for found in (few, first_n(df, ["a", "b"], 17)):
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)

@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talkloom.functions.plugins import generate
+from talkloom.functions.plugins import apply_steps, generate
 from talkloom.operators.tokens import assign_batches, collate, flatten_features, skip_overlength, tokenize_corpus
 from talkloom.plans.numbering import number_rows
-from talkloom.plans.training import batch_inference
+from talkloom.plans.training import batch_inference, training_examples
 
 
 def replay(context, target, max_len, special, eos, skip):
@@ -98,3 +98,30 @@ def test_each_plugin_is_its_own(spark):
     df = spark.createDataFrame([("x",)], "prompt string")
     for word in ["a", "b"]:
         assert generate(df, make(word)).first().reply == word + "x"
+
+
+def test_user_steps_run_in_order_before_prompts(spark):
+    records = spark.createDataFrame(
+        [(i, f"do {i}", None, "x" * i) for i in range(6)], "id int, instruction string, input string, output string"
+    )
+
+    def long_ones(df):
+        return df.filter(F.length("output") > 2)
+
+    def doubled(df):
+        return df.withColumn("output", F.concat("output", "output"))
+
+    def sizes(steps):
+        return {r.id: len(r.input_ids) - len(f"Instruction: do {r.id}\nAnswer: ") - 1
+                for r in training_examples(records, steps=steps).collect()}
+
+    assert sizes([long_ones, doubled]) == {3: 6, 4: 8, 5: 10}
+    assert sizes([doubled, long_ones]) == {2: 4, 3: 6, 4: 8, 5: 10}
+    assert apply_steps(records, []) is records
+    answers = batch_inference(records, lambda: lambda texts: [t[:4] for t in texts], 2, ["id"], steps=[long_ones])
+    assert sorted(r.id for r in answers.collect()) == [3, 4]
+    with pytest.raises(TypeError, match="nothing gave NoneType"):
+        def nothing(df):
+            return None
+
+        apply_steps(records, [nothing])
