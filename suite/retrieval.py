@@ -79,7 +79,7 @@ def r4_rank(spark, sf_dir):
 
 
 def r4_top_k(spark, sf_dir):
-    scores = R.cosine_scores(I.question_vectors(spark, sf_dir), I.passage_vectors(spark, sf_dir), NEAR)
+    scores = R.cosine_scores(I.question_vectors(spark, sf_dir), I.passage_vectors(spark, sf_dir), NEAR, top_k=3)
     return R.rank_desc(scores, top_k=3).select("query_id", "pos", "rank")
 
 
