@@ -3,7 +3,8 @@
 If no order value reaches the segment length, every group is small and one plain window
 does. This is checked first, by a filter on the order column that stored tables answer
 from their statistics. Otherwise groups are cut into segments of the order column: each
-window runs over one segment, and only its first or last row crosses to the neighbour.
+window runs over one segment, and only its first or last row crosses to the neighbour, as a
+row that is marked.
 """
 
 from __future__ import annotations
@@ -47,10 +48,6 @@ def _neighbour(df, key, order, columns, out, segment, ahead):
         shifted = F.lead(value).over(whole) if ahead else F.lag(value).over(whole)
         return df.withColumn(out, shifted)
     parts = [*key, "_seg"]
-    rows = df.withColumn("_seg", segment_of(order, segment))
-    inside = Window.partitionBy(*parts).orderBy(order)
-    shifted = F.lead(value).over(inside) if ahead else F.lag(value).over(inside)
-    rows = rows.withColumn(out, shifted)
     late = df.filter(F.col(order) >= segment).withColumn("_seg", segment_of(order, segment))
     along = Window.partitionBy(*key).orderBy("_seg")
     if ahead:
@@ -71,11 +68,21 @@ def _neighbour(df, key, order, columns, out, segment, ahead):
         carried = edge.select(
             *key, F.lead("_seg").over(along).alias("_seg"), "_edge"
         ).filter(F.col("_seg").isNotNull())
-    return (
-        null_safe_join(rows, carried, list(parts), "left")
-        .withColumn(out, F.coalesce(F.col(out), F.col("_edge")))
-        .drop("_seg", "_edge")
-    )
+    # The edge stands as a row of its own before or behind its segment, so that one window, and
+    # one shuffle of whole rows, gives every row its neighbour.
+    rows = df.withColumns({"_seg": segment_of(order, segment), "_mark": F.lit(0)})
+    values = [F.col("_edge")[c].alias(c) for c in columns if c not in key]
+    marked = carried.select(*parts, F.lit(1 if ahead else -1).alias("_mark"), *values)
+    inside = Window.partitionBy(*parts).orderBy("_mark", order)
+
+    def shifted(column):
+        return F.lead(column).over(inside) if ahead else F.lag(column).over(inside)
+
+    # Column by column: a struct of them would be shuffled beside them.
+    found = F.when(shifted("_mark").isNotNull(), F.struct(*[shifted(c).alias(c) for c in columns]))
+    # Dealt out by segment here: by group alone, rows made from few groups would be few, large tasks.
+    every = rows.unionByName(marked, allowMissingColumns=True).repartition(*parts).withColumn(out, found)
+    return every.filter(F.col("_mark") == 0).select(*df.columns, out)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
