@@ -21,6 +21,8 @@ from talkloom.streaming import replies as ST
 # Words that replies contain, standing for tool names; the order is the registry order.
 NAMES = ["tion", "the", "en", "der", "que", "ción"]
 KNOWLEDGE = {"tion": "kb-1", "the": None, "en": "kb-2", "der": None, "que": "kb-1", "default": "kb-0"}
+#: Snapshots to a stored file, some 400 MB of text.
+FILE_ROWS = 500_000
 REQUIRED = {"view": ["k"], "click": ["k", "user"], "signup": ["user", "k", "emotion"], "error": []}
 
 
@@ -181,17 +183,26 @@ def st2_suffix_delta_segments(spark, sf_dir):
     return ST.suffix_delta(I.snapshots(spark, sf_dir), segment=16)
 
 
+def _snapshot_files(rows):
+    """Files for so many snapshots: a task sorts one when it writes it, and again when it reads it."""
+    return max(8, -(-rows // FILE_ROWS))
+
+
 def _stored_snapshots(spark, sf_dir):
-    """Snapshots on disk, each reply within one file and in order."""
+    """Snapshots on disk, each reply within one file and in order, and the number of files."""
     path = scratch_path(spark, "snapshots")
-    placed = I.snapshots(spark, sf_dir).repartition(8, "conv_id", "turn")
+    words = F.sum(F.size(F.split("resp", " ")))
+    files = _snapshot_files(I.pairs(spark, sf_dir).agg(words).first()[0] or 0)
+    placed = I.snapshots(spark, sf_dir).repartition(files, "conv_id", "turn")
     placed.sortWithinPartitions("conv_id", "turn", "seq").write.parquet(path)
-    return path
+    return path, files
 
 
 def st1_latest_snapshot_stream(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "offsets")
-    stream = ST.read_snapshots(spark, _stored_snapshots(spark, sf_dir), files_per_batch=4)
+    path, _ = _stored_snapshots(spark, sf_dir)
+    # Batches of a bounded size, however many: a batch's snapshots are sorted by the tasks that read it.
+    stream = ST.read_snapshots(spark, path, files_per_batch=4)
     ST.latest_snapshot_stream(stream, out, checkpoint).awaitTermination()
     return ST.latest_snapshot(ST.read_log(spark, out))
 
@@ -199,7 +210,9 @@ def st1_latest_snapshot_stream(spark, sf_dir):
 def st1_latest_snapshot_compacted(spark, sf_dir):
     """The log kept in versions, merged as it grows, with its old versions removed."""
     log = ST.ReplyLog(spark, scratch_path(spark, "log"))
-    stream = ST.read_snapshots(spark, _stored_snapshots(spark, sf_dir), files_per_batch=1)
+    path, files = _stored_snapshots(spark, sf_dir)
+    # Eight commits: each costs a merge and manifests besides its rows.
+    stream = ST.read_snapshots(spark, path, files_per_batch=-(-files // 8))
     ST.compacted_snapshot_stream(stream, log, scratch_path(spark, "offsets")).awaitTermination()
     log.table.expire()
     return log.latest()
@@ -210,11 +223,12 @@ def st2_suffix_delta_event_time(spark, sf_dir):
     path = scratch_path(spark, "timed")
     hour, second = F.pmod("conv_id", F.lit(4)), F.pmod("seq", F.lit(3600))
     timed = written(I.snapshots(spark, sf_dir).withColumn("arrived", F.timestamp_seconds(3600 * hour + second)), "timed")
+    files = max(4, -(-timed.count() // (4 * FILE_ROWS)))
     for k in range(4):
         # A folder of files for each hour, written in turn: files are read by their age.
-        part = timed.where(hour == k).repartition(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq")
+        part = timed.where(hour == k).repartition(files, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq")
         part.write.mode("append").parquet(path)
-    stream = ST.read_snapshots(spark, path, files_per_batch=4, arrival="arrived")
+    stream = ST.read_snapshots(spark, path, files_per_batch=files, arrival="arrived")
     deltas = ST.suffix_delta_stream(stream, idle_ms=600_000, arrival="arrived", delay="1 hour")
     out = scratch_path(spark, "deltas")
     ST.store_deltas(deltas, out, scratch_path(spark, "offsets")).awaitTermination()
@@ -223,7 +237,9 @@ def st2_suffix_delta_event_time(spark, sf_dir):
 
 def st2_suffix_delta_stream(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "deltas"), scratch_path(spark, "offsets")
-    stream = ST.read_snapshots(spark, _stored_snapshots(spark, sf_dir), files_per_batch=4)
+    path, files = _stored_snapshots(spark, sf_dir)
+    # Two batches: the state of replies is stored after each, whatever its size.
+    stream = ST.read_snapshots(spark, path, files_per_batch=-(-files // 2))
     ST.store_deltas(ST.suffix_delta_stream(stream), out, checkpoint).awaitTermination()
     return spark.read.schema(ST.DELTA).parquet(out)
 
