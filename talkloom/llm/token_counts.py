@@ -1,6 +1,6 @@
 """Token counts of texts of any length, exactly as the tokenizer's library gives them.
 
-A short text is encoded as a whole. A long one is cut into chunks that overlap, which are
+A short text is encoded as a whole, for word BPE run by run as token files are. A long one is cut into chunks that overlap, which are
 encoded in different tasks, with offsets. Two neighbours are spliced inside their overlap, at
 a place where both have a token edge and where the tokenizer provably cuts in any context;
 then the count is that of the one chunk up to the place and of the other from it on. Where an
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.text import text_bytes
-from talkloom.llm.token_files import separable
+from talkloom.llm.token_files import _encoder, id_kind, separable
 from talkloom.sources.scratch import written
 
 LIMIT = 2048
@@ -110,7 +110,12 @@ class Counter:
         self.tokenizer = tokenizer
         self.splits = separable(tokenizer.to_str())
         self.specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        self.counts = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.splits:
+            # Run by run, with the ids of known runs kept: a text's words are mostly known ones.
+            encode, kind = _encoder(path, id_kind(path)), np.dtype(id_kind(path))
+            self.counts = lambda texts: [len(encode(t.encode(errors="replace"))) // kind.itemsize for t in texts]
+        else:
+            self.counts = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def edges(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """The number of tokens; the proven places at which one begins; the tokens before each."""

@@ -93,3 +93,20 @@ def test_no_rows(spark, docs_of):
     empty = docs_of([(1, "x")]).where("false")
     assert count_tokens(empty, PATH).collect() == []
     assert count_tokens(empty, PATH).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+def test_known_runs_are_not_encoded_again(monkeypatch):
+    """Counts of the library, which sees each run of a text once."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from talkloom.llm import token_files
+    from talkloom.llm.token_counts import Counter
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, counter = Tokenizer.from_file(path), Counter(path)
+    texts = ["Some words, some WORDS; don't 12 ćevapi x", "", " \t\n", "a<|endoftext|>b é 가 日本語 😀", "x\x0by\x1cz q\x85r"]
+    assert counter.counts(texts) == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    first = counter.counts(["again and again"])
+    monkeypatch.setattr(token_files.ChunkIds, "__missing__", lambda self, run: pytest.fail(f"{run} was known"))
+    assert counter.counts(["again and again"]) == first
