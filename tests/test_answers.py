@@ -5,8 +5,10 @@ import json
 import pytest
 
 from talkloom.functions import prompts as P
-from talkloom.plans import gathering
+from talkloom.operators import retrieve
+from talkloom.plans import gathering, numbering, scoring
 from talkloom.plans.answers import answer_questions
+from talkloom.sources import scratch
 
 PASSAGES = [(1, "nearby", [1.0, 0.0]), (2, "second", [0.9, 0.2]), (3, "other", [0.0, 1.0]), (4, None, [0.8, 0.1])]
 LONG = "l" * 600
@@ -69,3 +71,33 @@ def test_no_knowledge_is_shuffled(answered):
             if depth[j] < at:
                 at = depth[j]
                 assert "Exchange" not in plan[j] and "Join" not in plan[j]
+
+
+@pytest.mark.parametrize("find", [
+    lambda q, p: retrieve.threshold_matches(q, p, threshold=0.5),
+    lambda q, p: retrieve.l2_range_context(q, p, radius=9.0),
+])
+def test_no_match_is_stored(spark, monkeypatch, find):
+    """Every question matches every passage, but no stored table is larger than both together."""
+    queries = spark.createDataFrame([(i, [1.0, i / 30]) for i in range(30)], "query_id long, embedding array<double>")
+    passages = spark.createDataFrame([(i, f"t{i};", [1.0, i / 30]) for i in range(30)], "pos long, text string, embedding array<double>")
+    rows = []
+
+    def counted(df, tag, to=scratch.written):
+        stored = to(df, tag)
+        rows.append(stored.count())
+        return stored
+
+    for module in (retrieve, gathering, numbering, scoring):
+        monkeypatch.setattr(module, "written", counted)
+    known = find(queries, passages).collect()
+    assert len(known) == 30 and all(r.knowledge.count(";") == 30 for r in known)
+    assert max(rows) <= 60
+
+
+def test_vector_of_a_position_without_one(spark):
+    """A position's texts are taken by any of its vectors; a position that is null is found by none."""
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    rows = [(1, "b", [1.0, 0.1]), (1, "a", None), (None, "c", [1.0, 0.0]), (2, "d", None), (3, "e", [0.0, 1.0])]
+    passages = spark.createDataFrame(rows, "pos long, text string, embedding array<double>")
+    assert [r.knowledge for r in retrieve.l2_range_context(queries, passages, radius=0.5).collect()] == ["ab"]
