@@ -149,6 +149,18 @@ def test_range_context(spark):
     assert sorted((r.rank, r.pos, r.distance) for r in near) == [(1, 2, 1.0), (2, 1, 4.0), (3, 3, 4.0)]
 
 
+def test_range_query_joins_all_in_the_radius(spark, monkeypatch):
+    from suite import retrieval as Q
+
+    query = spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, embedding array<double>")
+    rows = [(i, f"t{i}", [0.1 * i, 0.0]) for i in range(1, 16)]
+    passages = spark.createDataFrame(rows, "pos long, text string, embedding array<double>")
+    monkeypatch.setattr(Q.I, "question_vectors", lambda *_: query)
+    monkeypatch.setattr(Q.I, "passages", lambda *_: passages)
+    # The squared distance of the fifteenth is 2.25. Only the nearest five were joined before.
+    assert Q.r8_l2_range(spark, "").first().knowledge == "".join(f"t{i}" for i in range(1, 15))
+
+
 def test_routes_and_fallback(spark):
     query, passages = exact(spark)
     asked = query.withColumn("query", F.when(F.col("query_id") == 1, "x" * 513).otherwise("x" * 512))
